@@ -1,0 +1,34 @@
+"""Registered queries of the document engine and their DuckDB restatements."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+@query("page_digest", "SELECT page_id, sha256(html) AS digest FROM pages")
+def page_digest(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("digest"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_digest(spark, sf_dir)
