@@ -32,3 +32,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
