@@ -39,3 +39,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fmindex import contamination_report
 
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents")).drop("mixture")
