@@ -46,3 +46,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
     return identify_languages(table(spark, sf_dir, "documents")).drop("mixture")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
