@@ -334,3 +334,24 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs with the contaminated spans cut out of text, and n_chars, if there is one, counted anew.
+
+    Works row by row beside the other columns, so no join is needed and repeated ids stay apart.
+    Texts without a hit are passed on unchanged, nulls included.
+    """
+    name = uuid.uuid4().hex
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col("text"))
+
+    @F.arrow_udf("binary")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = ([(x["begin"], x["end"]) for x in s] for s in spans.to_pylist())
+        return pa.array([remove_spans(t, s) if t else t for t, s in zip(text.to_pylist(), pairs, strict=True)], pa.binary())
+
+    found = find_contamination(carried, benchmark, **options)
+    clean = F.when(F.size("spans") > 0, cut(F.col("text"), F.col("spans"))).otherwise(F.col("text")).cast("string")
+    out = found.select(F.col("doc_id").alias(name), clean.alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    return out.select(*(new.get(c, F.col(f"`{name}`").getField(c)).alias(c) for c in docs.columns))

@@ -68,6 +68,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
+def fingerprint_of(spark, shingle: int = 3):
+    """A Column function: text -> fingerprint as a long."""
+    bounded_batches(spark)
+
+    @F.arrow_udf("bigint")
+    def sketch(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash(t or b"", shingle) for t in text.to_pylist()], np.uint64).view(np.int64))
+
+    return lambda text: sketch(text.cast("binary"))
+
+
 class Forest:
     """BK-trees of many shards: rows are sorted by shard, the first row of a shard is its root."""
 
@@ -238,5 +249,25 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIU
     named = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rows.join(classes, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
+def hex16(fp: str):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but one row of every near-duplicate class.
+
+    The row with the smallest doc_id stays; of rows that share it, the one with the smallest
+    fingerprint, and of those any (they have the same words). A class without any id keeps one row.
+    """
+    spark, shingle = docs.sparkSession, options.get("shingle", 3)
+    classes = simhash_components(docs, **options)
+    best = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a class without ids is named by its least fingerprint alone
+    keep = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("own")).agg(F.min("fingerprint").alias("fingerprint"))
+    keep = keep.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept"))
+    marked = docs.withColumn("__fp", fingerprint_of(spark, shingle)(F.col("text")))
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (hex16("__fp") == keep["__kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__fp"]).drop("__fp")
