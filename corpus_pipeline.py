@@ -20,6 +20,8 @@ from vellumix.llm._common import cut_lineage, table
 LEAST_LANGUAGE_SHARE = 0.5
 #: A document below this probability of being good is rejected.
 LEAST_QUALITY = 0.3
+#: Documents at a Jaccard similarity of 0.8 of their five-word shingles mostly differ in so many bits at most.
+NEAR_BITS = 6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate class."""
-    return simhash.keep_one_of_each(docs)
+    """Keep the document with the smallest id of each near-duplicate class (five-word shingles)."""
+    return simhash.keep_one_of_each(docs, shingle=5, radius=NEAR_BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

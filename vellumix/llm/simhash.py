@@ -1,13 +1,14 @@
 """SimHash fingerprints and near-duplicate classes by sharded BK-trees.
 
 Fingerprints of distinct texts are compared, never rows. Two fingerprints at most RADIUS = 3
-bits apart agree on at least one of four 16-bit bands, so every fingerprint enters the four
-shards named by its band values and each shard gets a BK-tree (children keyed by integer
-Hamming distance to the parent). A query follows only the edges whose key lies within the
-radius of its distance to the node. Shards are co-located with their queries by the band key
-instead of being broadcast: the trees grow with the corpus, so no broadcast bound could be
-proven. A shard of more than HOT_SHARD fingerprints is split again by four 12-bit bands of
-the 48 bits left, by the same argument, so that hot bands are spread out and nothing is lost.
+bits apart agree on at least one of four 16-bit blocks (up to six bits: on two of eight 8-bit
+blocks, 28 masks), so every fingerprint enters one shard per mask, named by its masked bits,
+and each shard gets a BK-tree (children keyed by integer Hamming distance to the parent). A
+query follows only the edges whose key lies within the radius of its distance to the node.
+Shards are co-located with their queries by that key instead of being broadcast: the trees
+grow with the corpus, so no broadcast bound could be proven. A shard of more than HOT_SHARD
+fingerprints is split again by radius + 1 blocks of the bits left, by the same argument, so
+that hot shards are spread out and nothing is lost.
 
 All trees of one task are built and searched together, level by level, in numpy. Each task
 keeps only a forest of links (fingerprint -> representative of its local class); the forests
@@ -17,6 +18,7 @@ are joined into global classes by distributed label propagation with pointer jum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -187,37 +189,47 @@ def _search(radius: int):
     return run
 
 
-def _bands(rows: DataFrame, key, bits, width: int, bands: int = 4) -> DataFrame:
-    """(key, fp, rest): one row per band, with the band's value in the key and its bits cut out of the rest."""
-    mask = (1 << width) - 1
-    each = []
-    for b in range(bands):
-        value = F.shiftrightunsigned(bits, b * width).bitwiseAND(F.lit(mask))
-        high = F.shiftleft(F.shiftrightunsigned(bits, (b + 1) * width), b * width) if b < bands - 1 else F.lit(0)
-        low = bits.bitwiseAND(F.lit((1 << (b * width)) - 1))
-        each.append(
-            F.struct(
-                F.shiftleft(F.shiftleft(key, 2).bitwiseOR(F.lit(b)), width).bitwiseOR(value).cast("long").alias("key"),
-                high.bitwiseOR(low).cast("long").alias("rest"),
-            )
-        )
-    return rows.select("fp", F.explode(F.array(*each)).alias("s")).select("s.key", "fp", "s.rest")
+def _blocks(bits: list[int], n: int) -> list[int]:
+    """The given bit positions in n masks of near equal size."""
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def _masks(radius: int) -> tuple[list[int], list[list[int]]]:
+    """Bit masks such that fingerprints within the radius agree under at least one of them.
+
+    Up to three differing bits leave one of four 16-bit blocks untouched; up to six leave two of
+    eight 8-bit blocks. The second list refines each mask by radius + 1 blocks of the other bits,
+    of which one is untouched too.
+    """
+    assert radius <= 6, "masks of 16 bits prove the search only up to six differing bits"
+    n, agree = (4, 1) if radius <= 3 else (8, 2)
+    masks = [sum(c) for c in combinations(_blocks(list(range(64)), n), agree)]
+    return masks, [[m | x for x in _blocks([b for b in range(64) if not m >> b & 1], radius + 1)] for m in masks]
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _links(fps: DataFrame, radius: int) -> DataFrame:
-    """(u, v): a forest of links between distinct fingerprints, from all shards."""
-    assert radius < 4, "four bands prove the search only up to three differing bits"
+    """(u, v): a forest of links between distinct fingerprints, from all shards.
+
+    A shard's key is a hash of the mask's number and the masked bits; should two shards share
+    a key they only share a tree.
+    """
     spark = fps.sparkSession
-    shards = _bands(fps, F.lit(0).cast("long"), F.col("fp"), 16)
-    # at most 4 * 2^16 keys exist at all, so the hot ones can be broadcast at any corpus size
+    masks, finer = _masks(radius)
+    table = F.array(*(F.lit(_long(m)) for m in masks))
+    refined = F.array(*(F.array(*(F.lit(_long(m)) for m in own)) for own in finer))
+    shards = fps.select("fp", F.posexplode(table).alias("mask", "bits")).select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("bits"))).alias("key"))
+    # masks x 2^16 keys exist at all, so the hot ones can be broadcast at any corpus size
     hot = F.broadcast(shards.groupBy("key").count().where(F.col("count") > HOT_SHARD).select("key"))
     cold = shards.join(hot, "key", "left_anti").select("key", "fp")
-    again = shards.join(hot, "key", "left_semi")
-    split = _bands(again, F.col("key"), F.col("rest"), 12).select(F.col("key"), "fp")
-    # keys of the second level are longer than those of the first: no clash
-    keyed = cold.unionByName(split.withColumn("key", F.col("key").bitwiseOR(F.lit(1 << 40))))
+    again = shards.join(hot, "key", "left_semi").select("fp", "mask", F.posexplode(F.element_at(refined, F.col("mask") + 1)).alias("block", "bits"))
+    split = again.select(F.xxhash64("mask", "block", F.col("fp").bitwiseAND(F.col("bits"))).alias("key"), "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    dealt = cold.unionByName(split).repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_search(radius), "u bigint, v bigint").distinct()
 
 
