@@ -16,29 +16,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._common import cut_lineage
+
 SHINGLE = 5
 #: One of so many shingle hashes is kept.
-SCALE = 8
-_EDGE = (1 << 63) // SCALE
+SCALE = 4
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda that names an array expression would compute it anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct 63-bit shingle hashes below 2^63 / scale."""
+    """Sorted distinct 63-bit shingle hashes below 2^63 / scale; a null text counts as an empty one."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D\x20]+"), lambda w: w != "")
-    return _sketch_of_words(words, shingle, scale)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: _sketch_of_hashes(hashes, shingle, scale))
 
 
-def _sketch_of_words(words: Column, shingle: int, scale: int) -> Column:
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _sketch_of_hashes(hashes: Column, shingle: int, scale: int) -> Column:
     # word hashes are mixed by position, so a shingle costs a few multiplications and no string
-    last = F.size(words) - F.lit(shingle)
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.xxhash64(F.slice(hashes, i + 1, shingle)).bitwiseAND(F.lit((1 << 63) - 1)),
-    )
-    low = F.filter(mixed, lambda h: h < F.lit((1 << 63) // scale))
-    kept = F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(mixed)))
-    return F.when(F.size(words) > 0, kept).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - F.lit(shingle), F.lit(0)))
+    mixed = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + F.lit(k)) for k in range(shingle)]).bitwiseAND(F.lit((1 << 63) - 1)))
+
+    def keep(every: Column) -> Column:
+        low = F.array_sort(F.array_distinct(F.filter(every, lambda h: h < F.lit((1 << 63) // scale))))
+        return _let(low, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(every))))
+
+    return F.when(F.size(hashes) > 0, _let(mixed, keep)).otherwise(F.array().cast("array<bigint>"))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -67,12 +72,53 @@ def to_text(sketch: Column) -> Column:
 def successors(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) in ascending order of the distinct ids of ids(doc_id); the last is followed by the first.
 
-    Ids are cut into ranges by a range exchange, ordered inside each range, and only each range's
-    first id (as many rows as there are partitions) is looked at globally.
+    Ids are cut into ranges by a range exchange and ordered inside each range; only each range's
+    first id (as many rows as there are partitions) is ordered globally. A null id is the lowest.
+    The ranged ids are written once, since both uses must see the same ranges.
     """
-    ranged = ids.select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    ranged = cut_lineage(ids.select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     inner = ranged.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    edges = inner.groupBy("part").agg(F.min("doc_id").alias("first"))
+    inner = inner.withColumn("last", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("doc_id"))) == 1)
+    edges = ranged.groupBy("part").agg(F.min(F.struct("doc_id")).alias("first"))
     order = Window.orderBy("part")
     ahead = edges.withColumn("following", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return inner.join(F.broadcast(ahead.select("part", "following")), "part").select("doc_id", F.coalesce("next_id", "following").alias("next_id"))
+    following = F.broadcast(ahead.select("part", "following"))
+    return inner.join(following, "part").select("doc_id", F.when(F.col("last"), F.col("following.doc_id")).otherwise(F.col("next_id")).alias("next_id"))
+
+
+def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """Sketch of every text of docs(doc_id, text), of its edited text, and their likeness.
+
+    The edited text has the last floor(n_chars/2) code points replaced by the first as many (or
+    all) of the next document's, in ascending doc_id; the last is followed by the first. near_edited
+    and near_next are the estimated Jaccard similarities to the edited and the next text.
+    A null text is empty. Of rows with a repeated id, the one with the least text (null as empty)
+    is the next document of their predecessor; each row has a result. A null id comes first.
+    Other columns are ignored, an empty table gives no rows.
+
+    Each text moves to its id once, and only the part that its predecessor needs moves again.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    after = successors(rows)
+    before = after.select(F.col("next_id").alias("to_id"), F.col("doc_id").alias("from_id"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("widest"))
+    wanted = before.join(sizes, F.col("from_id").eqNullSafe(F.col("doc_id"))).select("to_id", "from_id", "widest")
+    heads = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("to_id")))
+    heads = heads.select(F.col("from_id"), F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
+    heads = heads.groupBy("from_id").agg(F.min("n").alias("n"))
+    both = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("from_id")))
+    n = F.length("text").cast("long")
+    both = both.select("doc_id", "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
+    out = both.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch(F.col("text"), shingle, scale).alias("s"), sketch(F.col("edited"), shingle, scale).alias("e"), F.col("n.next_sketch").alias("x"),
+    )
+    made = F.array(F.struct(F.col("s"), F.col("e"), F.col("x")))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256",
+        # one pass through a lambda keeps each sketch from being computed once for every use
+        F.inline(F.transform(made, lambda r: F.struct(
+            to_text(r["s"]).alias("fingerprint"), to_text(r["e"]).alias("edited_fingerprint"),
+            similarity(r["s"], r["e"]).alias("near_edited"), similarity(r["s"], r["x"]).alias("near_next"),
+        ))),
+    )

@@ -60,3 +60,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .urlrep import judge_urls
+
+    labels = table(spark, sf_dir, "labels")
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic")).cast("int")
+    return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+@query
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transcripts import parse_transcripts, with_markers
+
+    return parse_transcripts(with_markers(table(spark, sf_dir, "conversations")))
