@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumix.functions import text as T
+from vellumix.operators import integrity, nodes, reading
+from vellumix.operators.markdown import with_markdown
+from vellumix.sources.html import html_nodes
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,5 +35,102 @@ def page_digest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("digest"))
 
 
+@query(
+    "verify_digests",
+    """
+    WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS have FROM documents WHERE doc_id % 7 <> 0),
+         b AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS want FROM documents WHERE doc_id % 11 <> 0)
+    SELECT doc_id, 'content/index.html' AS path, CASE WHEN want IS NULL THEN 'missing-digest' WHEN have IS NULL THEN 'missing-file' ELSE 'mismatch' END AS outcome
+    FROM a FULL OUTER JOIN b USING (doc_id) WHERE want IS NULL OR have IS NULL OR want <> have""",
+)
+def verify_digests(spark, sf_dir):
+    """Files and declared digests that are made to disagree: each outcome of the verification is met."""
+    path = F.lit("content/index.html").alias("path")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.where("doc_id % 7 <> 0").select("doc_id", path, F.col("text").cast("binary").alias("bytes"))
+    told = docs.where("doc_id % 11 <> 0").withColumn("text", F.concat("text", F.when(F.expr("doc_id % 5 = 0"), "!").otherwise("")))
+    declared = told.select("doc_id", path, F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return integrity.compare_digests(integrity.digests(files), declared)
+
+
+@query(
+    "split_blocks",
+    r"""
+    WITH b AS (SELECT doc_id, unnest(range(len(p))) AS block_no, unnest(p) AS text
+               FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10) || chr(10)) AS p FROM documents WHERE text NOT IN ('', chr(10))))
+    SELECT doc_id, block_no::INT AS block_no, text FROM b""",
+)
+def split_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("markdown"))
+    return integrity.split_blocks(docs).drop("ids")
+
+
+@query("escape_text", r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]{}<>&|#])', '\\\1', 'g') AS escaped FROM documents")
+def escape_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.escape_text(F.col("text")).alias("escaped"))
+
+
+@query(
+    "source_uuid",
+    """
+    WITH h AS (SELECT page_id, sha256(url) AS h FROM pages)
+    SELECT page_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16],
+        CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || h[18:20],
+        h[21:32]) AS uuid FROM h""",
+)
+def source_uuid(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.deterministic_uuid(F.col("url")).alias("uuid"))
+
+
+@query(
+    "order_dates",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS text, month(CAST(o_orderdate AS DATE)) <> 2 OR day(CAST(o_orderdate AS DATE)) <= 28 OR year(CAST(o_orderdate AS DATE)) % 4 = 0 AS valid
+       FROM orders""",
+)
+def order_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("text")).withColumn("valid", T.is_date(F.col("text")))
+
+
+@query(
+    "line_report",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(range(len(p))) AS seq, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+         g AS (SELECT doc_id, line, count(*) AS n, min(seq) AS seq FROM l GROUP BY doc_id, line)
+    SELECT doc_id, seq::INT AS seq, CASE WHEN n > 1 THEN line || ' (×' || n || ')' ELSE line END AS line FROM g""",
+)
+def line_report(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    return integrity.aggregate_report(lines)
+
+
+@query("read_and_cite")
+def read_and_cite(spark, sf_dir):
+    """Every citable element of every page with its URI, the blocks of its subtree, and the block that a citation shows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<body><article>"), "html", F.lit("</article>")).alias("html"))
+    listed = nodes.outline(html_nodes(pages), with_ranges=True)
+    blocks = integrity.split_blocks(with_markdown(pages).select(F.col("page_id").alias("doc_id"), "markdown"))
+    return reading.read_and_cite(listed, blocks)
+
+
+@query("page_nodes")
+def page_nodes(spark, sf_dir):
+    return html_nodes(table(spark, sf_dir, "pages"))
+
+
+@query("page_violations")
+def page_violations(spark, sf_dir):
+    return nodes.validate(html_nodes(table(spark, sf_dir, "pages")))
+
+
+@query("page_outline")
+def page_outline(spark, sf_dir):
+    return nodes.outline(html_nodes(table(spark, sf_dir, "pages")))
+
+
+@query("page_markdown")
+def page_markdown(spark, sf_dir):
+    return with_markdown(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_digest(spark, sf_dir)
+    return page_markdown(spark, sf_dir)
