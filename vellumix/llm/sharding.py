@@ -25,8 +25,10 @@ from ._common import cut_lineage
 
 SHARDS = 24
 HEAVY = 1000
-BLOCK = 20_000
+BLOCK = 10_000
 PIECES = 8
+#: The blocks are dealt to at most so many tasks; a number that Spark chose could leave all blocks to one.
+MOST_TASKS = 10_000
 
 
 def differencing(sizes: Iterable[int], shards: int, start: list[float] | None = None, turn: int = 0) -> list[int]:
@@ -115,7 +117,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     blocks = max(1, -(-all_.groups // BLOCK))
     light = groups.where(~is_heavy).select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
-    dealt = light.groupBy("block").applyInArrow(_block_partitioner(shards, sums, all_.bytes - sum(sums)), "key binary, shard int")
+    dealt = light.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(_block_partitioner(shards, sums, all_.bytes - sum(sums)), "key binary, shard int")
 
     keep = ["doc_id", "size", "text_crc32", "at"]
     put = tagged.where(F.col("pieces").isNotNull()).join(F.broadcast(placed), ["key", "piece"]).select(*keep, F.col("heavy_shard").alias("shard"))
