@@ -103,6 +103,6 @@ def test_blocks_and_packages(spark):
 def test_read_and_cite(spark, page):
     blocks = integrity.split_blocks(spark.createDataFrame([(1, to_markdown(PAGE))], "doc_id long, markdown string"))
     got = {r.id: r for r in reading.read_and_cite(nodes.outline(page, with_ranges=True), blocks).collect()}
-    assert got["s-2"].content == got["h-2"].content + "\n\nno id" and got["s-2"].uri == "wdf:1#s-2"
+    assert got["s-2"].content == got["h-2"].content == "## Sub {#h-2} {#s-2}\n\nno id" and got["s-2"].uri == "wdf:1#s-2"
     assert got["t-1"].content.startswith("Cap {#t-1}\n\n| A | B |")
     assert got["h-0"].cited == "# One *two* {#h-0} {#s-1}"
