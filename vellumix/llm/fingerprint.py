@@ -98,15 +98,15 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = S
 
     Each text moves to its id once, and only the part that its predecessor needs moves again.
     """
+    # ids are compared inside a struct, where nulls are equal; a null-safe join would shuffle anew after the aggregation
+    key = lambda c: F.struct(F.col(c).alias("id"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    after = successors(rows)
-    before = after.select(F.col("next_id").alias("to_id"), F.col("doc_id").alias("from_id"))
-    sizes = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("widest"))
-    wanted = before.join(sizes, F.col("from_id").eqNullSafe(F.col("doc_id"))).select("to_id", "from_id", "widest")
-    heads = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("to_id")))
-    heads = heads.select(F.col("from_id"), F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
-    heads = heads.groupBy("from_id").agg(F.min("n").alias("n"))
-    both = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("from_id")))
+    before = successors(rows).select(key("next_id").alias("key"), key("doc_id").alias("from"))
+    rows = rows.withColumn("key", key("doc_id"))
+    sizes = rows.groupBy(F.col("key").alias("from")).agg(F.max(F.length("text")).alias("widest"))
+    heads = rows.select("key", "text").join(before.join(sizes, "from"), "key")
+    heads = heads.select("from", F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
+    both = rows.join(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n")), "key")
     n = F.length("text").cast("long")
     both = both.select("doc_id", "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
     out = both.select(
