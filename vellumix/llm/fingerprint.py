@@ -100,15 +100,15 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = S
     """
     # ids are compared inside a struct, where nulls are equal; a null-safe join would shuffle anew after the aggregation
     key = lambda c: F.struct(F.col(c).alias("id"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    before = successors(rows).select(key("next_id").alias("key"), key("doc_id").alias("from"))
-    rows = rows.withColumn("key", key("doc_id"))
+    # both sides of the last join read the same two columns, so that Spark deals the texts out once
+    rows = docs.select(key("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    before = successors(docs).select(key("next_id").alias("key"), key("doc_id").alias("from"))
     sizes = rows.groupBy(F.col("key").alias("from")).agg(F.max(F.length("text")).alias("widest"))
-    heads = rows.select("key", "text").join(before.join(sizes, "from"), "key")
+    heads = rows.join(before.join(sizes, "from"), "key")
     heads = heads.select("from", F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
     both = rows.join(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n")), "key")
     n = F.length("text").cast("long")
-    both = both.select("doc_id", "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
+    both = both.select(F.col("key.id").alias("doc_id"), "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
     out = both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch(F.col("text"), shingle, scale).alias("s"), sketch(F.col("edited"), shingle, scale).alias("e"), F.col("n.next_sketch").alias("x"),
