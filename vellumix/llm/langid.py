@@ -1,10 +1,12 @@
 """Language identification by multilingual mixture inference.
 
-Each language has a character n-gram model (lengths 1 to 3 over word-bounded tokens, hashed
-into BUCKETS cells). A document is a mixture: expectation-maximisation estimates the language
-proportions from the n-gram likelihoods of its tokens, for the 1, 2, ... MAX_LANGS languages
-that weigh most, and the set with the best penalised likelihood is kept. All documents of an
-Arrow batch are estimated together in numpy.
+Each language has a model of letter trigrams, hashed into BUCKETS cells. A document is cut
+into blocks of BLOCK bytes and taken as a mixture: expectation-maximisation estimates the
+language proportions from the n-gram likelihoods of its blocks, for the 1, 2, ... MAX_LANGS
+languages that weigh most, and the set with the best penalised likelihood is kept. A document
+whose best single language can't be beaten by any set, because no block favours another
+enough, keeps it without further rounds; that bound is exact. Everything runs in numpy over
+the bytes of an Arrow batch, some hundred thousand positions at a time.
 
 Counts cover every training document. Each task adds up its own counts per language and
 bucket, Spark sums them, and the model that is broadcast has languages x BUCKETS cells however
@@ -15,8 +17,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,38 +26,32 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, held_out
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+BLOCK = 32
 MAX_LANGS = 4
 ROUNDS = 12
 PENALTY = 1.0
 SMOOTHING = 0.5
-TOKENS_KEPT = 200_000
-#: A longer token is taken in pieces of this many characters, so no token is unbounded.
-PIECE = 48
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Positions worked on at once.
+PIECE = 1 << 19
 UNDETERMINED = "und"
 
+# letters of ASCII in lower case 1 to 26, bytes beyond ASCII 27 to 154, all else 0
+_CODE = np.zeros(256, np.int32)
+_CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
+_CODE[128:] = np.arange(27, 155)
+_letter = re.compile(r"[^\W\d_]").search
+_ascii_letter = re.compile(rb"[A-Za-z]").search
 
-def token_buckets(token: str) -> list[int]:
-    """Buckets of the n-grams of a whitespace-free token's letter runs; none without letters."""
-    out = []
-    for run in _LETTERS.findall(token.lower()):
-        s = f"^{run}$"
-        for n in (1, 2, 3):
-            out += [zlib.crc32(s[i : i + n].encode("utf-8", "replace")) & (BUCKETS - 1) for i in range(1 if n == 1 else 0, len(s) - n + (n != 1))]
-    return out
 
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram that starts at each byte but the last two; 0 where none is a letter."""
+    c = _CODE[data]
+    return (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) & (BUCKETS - 1)
 
-def tokens_of(text: str) -> Counter[str]:
-    """Tokens and how often they stand in a text."""
-    out: Counter[str] = Counter(text.split())
-    if any(len(t) > PIECE for t in out):
-        cut: Counter[str] = Counter()
-        for t, n in out.items():
-            for at in range(0, len(t), PIECE):
-                cut[t[at : at + PIECE]] += n
-        return cut
-    return out
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ascii_letter(text)) or any(b > 127 for b in text) and bool(_letter(text.decode("utf-8", "replace")))
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
@@ -66,32 +60,17 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, Counter[str]] = {}
-
-        def settle(lang: str) -> None:
-            tokens = seen.pop(lang)
-            total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            cells, size, weight = [], [], []
-            for t, n in tokens.items():
-                b = token_buckets(t)
-                cells += b
-                size.append(len(b))
-                weight.append(n)
-                if len(cells) > 1_000_000:
-                    np.add.at(total, cells, np.repeat(weight, size))
-                    cells, size, weight = [], [], []
-            if cells:
-                np.add.at(total, cells, np.repeat(weight, size))
-
         for batch in batches:
+            by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = seen.setdefault(lang, Counter())
-                c.update(tokens_of(text.as_py().decode("utf-8", "replace")))
-                if len(c) > TOKENS_KEPT:
-                    settle(lang)
-        for lang in list(seen):
-            settle(lang)
+                by.setdefault(lang, []).append(text.as_py())
+            for lang, texts in by.items():
+                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                data = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)
+                for at in range(0, len(data) - 2, PIECE):
+                    total += np.bincount(trigrams(data[at : at + PIECE + 2]), minlength=BUCKETS)
         for lang, total in sums.items():
+            total[0] = 0
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
@@ -100,101 +79,102 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Language names and the log-likelihood of each bucket, buckets x languages."""
+    """Language names and the log-likelihood of each bucket, languages x buckets."""
     table = ngram_counts(docs).toArrow()
     lang, bucket, n = (table.column(i) for i in range(3))
-    names = sorted(set(lang.to_pylist()))
+    return log_likelihoods(lang.to_pylist(), bucket.to_numpy(), n.to_numpy())
+
+
+def log_likelihoods(lang: list[str], bucket: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    names = sorted(set(lang))
     at = {x: i for i, x in enumerate(names)}
-    counts = np.zeros((BUCKETS, len(names)))
-    counts[bucket.to_numpy(), [at[x] for x in lang.to_pylist()]] = n.to_numpy()
-    return names, np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
+    counts = np.zeros((len(names), BUCKETS))
+    counts[[at[x] for x in lang], bucket] = n
+    out = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float32)
+    out[:, 0] = 0.0  # no letters, no evidence
+    return names, out
 
 
 class Mixture:
-    """The fitted model in a worker, with the likelihoods of tokens met before."""
+    """The fitted model in a worker."""
 
     def __init__(self, names: list[str], table: np.ndarray):
         self.names, self.table = names, table
-        self.index: dict[str, int] = {}
-        self.rows = np.empty((1024, len(names)), np.float32)
-
-    def token(self, t: str) -> int:
-        """Row of a token's log-likelihoods, -1 if it has no letter."""
-        got = self.index.get(t)
-        if got is None:
-            cells = token_buckets(t)
-            if not cells:
-                got = -1
-            else:
-                got = self.used
-                self.used += 1
-                if got >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-                self.rows[got] = self.table[cells].sum(axis=0)
-            self.index[t] = got
-        return got
-
-    used = 0
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Per text: language, its proportion, and the evidence per token for the chosen set."""
-        if len(self.index) > TOKENS_KEPT:
-            self.index, self.used = {}, 0
-        doc, row, weight = [], [], []
-        has = np.zeros(len(texts), bool)
-        for d, text in enumerate(texts):
-            if text:
-                for t, n in tokens_of(text).items():
-                    r = self.token(t)
-                    if r >= 0:
-                        doc.append(d)
-                        row.append(r)
-                        weight.append(n)
-                        has[d] = True
+
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text: language, its proportion, and all proportions of the chosen set."""
         n, langs = len(texts), len(self.names)
+        has = np.array([bool(t) and has_letter(t) for t in texts], bool)
         share = np.zeros((n, langs))
-        if langs and doc:
-            share = self._mixture(np.array(doc), self.rows[row].astype(np.float64), np.array(weight, float), n)
+        if langs and has.any():
+            own = np.flatnonzero(has)
+            share[own] = self._shares([texts[i] for i in own.tolist()])
         best = share.argmax(axis=1) if langs else np.zeros(n, int)
         names = [self.names[b] if h and langs else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)]
         score = np.where(has, share[np.arange(n), best], 0.0) if langs else np.zeros(n)
         return names, np.clip(score, 0.0, 1.0), share
 
-    def _mixture(self, doc: np.ndarray, loglik: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        peak = loglik.max(axis=1)
-        lik = np.exp(loglik - peak[:, None])
-        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))  # documents come in order
-        present = doc[edge]
-        total = np.add.reduceat(weight, edge)
+    def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of every block (blocks x languages), and how many blocks each text has."""
+        data = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)
+        size = np.array([len(t) + 2 for t in texts], np.int64)
+        per_text = -(-size // BLOCK)
+        first = np.cumsum(per_text) - per_text
+        block = np.arange(per_text.sum()) - np.repeat(first, per_text)
+        begin = np.append(np.repeat(np.cumsum(size) - size, per_text) + BLOCK * block, size.sum())
+        out = np.empty((len(block), len(self.names)))
+        at, step = 0, PIECE // BLOCK
+        while at < len(block):
+            to = min(at + step, len(block))
+            cells = trigrams(data[begin[at] : begin[to] + 2])
+            edge = begin[at:to] - begin[at]
+            for j, row in enumerate(self.table):
+                out[at:to, j] = np.add.reduceat(row[cells], edge)
+            at = to
+        return out, per_text
+
+    def _shares(self, texts: list[bytes]) -> np.ndarray:
+        loglik, per_text = self.evidence(texts)
+        edge = np.cumsum(per_text) - per_text
+        informed = (loglik != 0).any(axis=1)
+        total = np.add.reduceat(informed.astype(float), edge)
+        lik = loglik - loglik.max(axis=1, keepdims=True)
+        alone = np.add.reduceat(lik, edge, axis=0)  # against the best that each block could have
+        best = np.zeros_like(alone)
+        best[np.arange(len(texts)), alone.argmax(axis=1)] = 1.0
+        # no set has a value above 0, and one of two languages pays the penalty once at least
+        open_ = np.flatnonzero(alone.max(axis=1) < -PENALTY * np.log(total + 1))
+        if len(open_):
+            of = np.repeat(np.arange(len(texts)), per_text)
+            take = np.isin(of, open_) & informed
+            best[open_] = self._em(np.exp(lik[take]), of[take], open_, alone[open_].max(axis=1), best[open_])
+        return best
+
+    @staticmethod
+    def _em(lik: np.ndarray, of: np.ndarray, texts: np.ndarray, value: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Best set and proportions for texts, whose best single language has the given value and share."""
+        where = np.searchsorted(texts, of)
+        edge = np.searchsorted(where, np.arange(len(texts)))
+        count = np.diff(np.append(edge, len(of)))
         langs = lik.shape[1]
 
-        def em(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            share = start
-            where = np.repeat(np.arange(len(present)), np.diff(np.append(edge, len(doc))))
+        def em(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for _ in range(ROUNDS):
-                each = lik * share[where]
-                mass = each.sum(axis=1)
-                share = np.add.reduceat(each * (weight / np.maximum(mass, 1e-300))[:, None], edge, axis=0)
-                share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-            mass = (lik * share[where]).sum(axis=1)
-            return share, np.add.reduceat(weight * np.log(np.maximum(mass, 1e-300)), edge)
-
-        free, _ = em(np.full((len(present), langs), 1.0 / langs))
+                each = lik * p[where]
+                p = np.add.reduceat(each / np.maximum(each.sum(axis=1, keepdims=True), 1e-300), edge, axis=0)
+                p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+            return p, np.add.reduceat(np.log(np.maximum((lik * p[where]).sum(axis=1), 1e-300)), edge)
+
+        free, _ = em(np.full((len(texts), langs), 1.0 / langs))
         order = np.argsort(-free, axis=1, kind="stable")
-        best, best_value = None, None
-        for k in range(1, min(MAX_LANGS, langs) + 1):
+        for k in range(2, min(MAX_LANGS, langs) + 1):
             start = np.zeros_like(free)
             np.put_along_axis(start, order[:, :k], 1.0 / k, axis=1)
-            share, value = em(start)
-            value = value - PENALTY * (k - 1) * np.log(total + 1)
-            if best is None:
-                best, best_value = share, value
-            else:
-                better = value > best_value
-                best[better], best_value[better] = share[better], value[better]
-        out = np.zeros((n, langs))
-        out[present] = best
-        return out
+            p, got = em(start)
+            got = got - PENALTY * (k - 1) * np.log(count + 1)
+            better = got > value
+            share[better], value[better] = p[better], got[better]
+        return share
 
 
 _models: dict[str, Mixture] = {}
@@ -212,7 +192,7 @@ def language_of(spark, model: tuple[list[str], np.ndarray]):
         if m is None:
             _models.clear()
             m = _models[key] = Mixture(*shared.value)
-        names, score, share = m.predict([b.decode("utf-8", "replace") if b is not None else None for b in text.to_pylist()])
+        names, score, share = m.predict(text.to_pylist())
         mixed = [[(m.names[j], float(s[j])) for j in np.flatnonzero(s > 0.01)] for s in share]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(mixed, kind.field(2).type)], fields=list(kind))
 
