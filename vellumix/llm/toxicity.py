@@ -32,6 +32,10 @@ FEATURES = 512
 LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 KEPT = 200_000
+#: Characters of a token after which its reading so far is fixed.
+SETTLED = 512
+#: Bytes counted at once.
+PIECE = 1 << 19
 
 #: Letters that a symbol or digit is commonly written for, and their channel costs.
 LEET = {
@@ -46,44 +50,40 @@ SYMBOLS = 28  # word edge, a-z, any other letter
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_QUOTES = ".,;:?\"'()[]{}"
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`-_=+/\\"
 #: A disguised token has something other than a letter with a letter on each side.
-_INSIDE = re.compile(r"[^\W\d_][^\s]*?[\d\W_][^\s]*?[^\W\d_]")
+_INSIDE = re.compile(r"[^\W\d_][\d\W_]+[^\W\d_]")
 
 
 def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else SYMBOLS - 1
 
 
+# by byte: letters of ASCII in lower case 1 to 26, first bytes beyond ASCII the last symbol, all else an edge
+_CODE = np.zeros(256, np.int64)
+_CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
+_CODE[0xC0:] = SYMBOLS - 1
+
+
+def cells_of(data: np.ndarray) -> np.ndarray:
+    """Trigram cells of the letter runs in bytes; a run starts after two edges, however near the one before is."""
+    s = _CODE[data[(data & 0xC0) != 0x80]]
+    a, b, c = s[:-2], s[1:-1], s[2:]
+    return (np.where(b == 0, 0, a) * SYMBOLS + b) * SYMBOLS + c
+
+
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts of the letter runs of every text of docs(text): SYMBOLS^3 cells."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        seen: Counter[str] = Counter()
-
-        def settle() -> None:
-            cells, weights = [], []
-            for token, n in seen.items():
-                for word in _LETTERS.findall(token.lower()):
-                    s = [0, 0, *map(symbol, word), 0]
-                    for a, b, c in zip(s, s[1:], s[2:]):
-                        cells.append((a * SYMBOLS + b) * SYMBOLS + c)
-                        weights.append(n)
-                if len(cells) > 500_000:
-                    np.add.at(total, cells, weights)
-                    cells, weights = [], []
-            if cells:
-                np.add.at(total, cells, weights)
-            seen.clear()
-
         for batch in batches:
-            for text in batch.column(0):
-                seen.update((text.as_py() or b"").decode("utf-8", "replace").split())
-                if len(seen) > KEPT:
-                    settle()
-        settle()
+            data = np.frombuffer(b"  " + b" ".join(t.as_py() or b"" for t in batch.column(0)) + b" ", np.uint8)
+            for at in range(0, len(data) - 2, PIECE):
+                total += np.bincount(cells_of(data[at : at + PIECE + 2]), minlength=SYMBOLS**3)
+        total[0] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -103,9 +103,8 @@ def letter_costs(counts: np.ndarray) -> list:
     return (-np.log(p3)).tolist()
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each character the letters it may stand for, with costs; '' means it is dropped."""
-    out = []
     before = ""
     token = token.lower()
     runs = {m.start() + i for m in re.finditer(r"(.)\1\1+", token) for i in range(len(m.group(0)))}
@@ -122,39 +121,53 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(x, UNKNOWN) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", LOOKS_LIKE)]
         else:
             options = [("", DROPPED if c in SEPARATORS else LOOKS_LIKE)]
-        out.append(options)
+        yield options
         before = c
-    return out
 
 
 def decode(token: str, costs: list) -> str:
     """Likeliest reading of a token: Viterbi over (last two letters) states of its lattice.
 
     States that have read the same two letters merge, so a step keeps at most a few hundred
-    states; back-pointers are kept per step and the work is linear in the token's length.
+    states, and the work is linear in the token's length. Back-pointers are settled every
+    SETTLED characters: the best state so far goes on alone, so a token of any length is read
+    whole in bounded memory.
     """
     states: dict[tuple[str, str], float] = {("", ""): 0.0}
     steps: list[dict[tuple[str, str], tuple[tuple[str, str], str]]] = []
+    out: list[str] = []
+
+    def row(state: tuple[str, str]) -> list[float]:
+        a, b = state
+        return costs[symbol(a) if a else 0][symbol(b) if b else 0]
+
+    def settle(end: tuple[str, str]) -> None:
+        back, state = [], end
+        for came in reversed(steps):
+            state, letter = came[state]
+            back.append(letter)
+        out.extend(reversed(back))
+        steps.clear()
+
     for options in lattice(token):
         best: dict[tuple[str, str], float] = {}
         came: dict[tuple[str, str], tuple[tuple[str, str], str]] = {}
         for state, cost in states.items():
-            a, b = state
-            row = costs[symbol(a) if a else 0][symbol(b) if b else 0]
+            after = row(state)
             for letter, channel in options:
-                new = (b, letter) if letter else state
-                total = cost + channel + (row[symbol(letter)] if letter else 0.0)
+                new = (state[1], letter) if letter else state
+                total = cost + channel + (after[symbol(letter)] if letter else 0.0)
                 if total < best.get(new, math.inf):
                     best[new] = total
                     came[new] = (state, letter)
         states = best
         steps.append(came)
-    state = min(states, key=lambda s: (states[s] + costs[symbol(s[0]) if s[0] else 0][symbol(s[1]) if s[1] else 0][0], s))
-    out = []
-    for came in reversed(steps):
-        state, letter = came[state]
-        out.append(letter)
-    return "".join(reversed(out))
+        if len(steps) == SETTLED:
+            end = min(states, key=lambda s: (states[s], s))
+            settle(end)
+            states = {end: 0.0}
+    settle(min(states, key=lambda s: (states[s] + row(s)[0], s)))
+    return "".join(out)
 
 
 class Reader:
@@ -163,37 +176,48 @@ class Reader:
     def __init__(self, costs: list, chosen: dict[str, int] | None = None):
         self.costs, self.chosen = costs, chosen
         self.kept: dict[str, list] = {}
+        #: A word with another beginning than any chosen feature has none of them.
+        self.heads = None if chosen is None else {x[:3] for x in chosen}
 
     def restored(self, token: str) -> list[str]:
         """The token without its edges, and the reading of what looks disguised in it."""
+        core = token.strip(_QUOTES).rstrip("!").strip(_QUOTES)
+        if core.isalpha() and not _TRIPLE.search(core):
+            return [core.lower()]
         plain = token.strip(_EDGES).lower()
         out = [plain] if plain else []
-        if _INSIDE.search(token) or _TRIPLE.search(plain) or any(c in LEET for c in token.strip(".,;:?\"'()[]{}")) and any(c.isalpha() for c in token):
-            core = token.strip(".,;:?\"'[]{}") if token[-1:] != "!" else token.rstrip("!").strip(".,;:?\"'[]{}")
-            if core and (read := decode(core, self.costs)) and read != plain:
+        if _INSIDE.search(token) or _TRIPLE.search(plain) or any(c in LEET for c in core) and any(c.isalpha() for c in core):
+            if (read := decode(core, self.costs)) and read != plain:
                 out.append(read)
         return out
 
     def features(self, token: str) -> list:
-        got = self.kept.get(token)
-        if got is None:
+        """Names of a token's features, or the indexes of the chosen ones; kept for tokens of up to 64 characters."""
+        words, heads = self.restored(token), self.heads
+        if heads is not None:
+            words = [w for w in words if w[:3] in heads]
+        got: list = []
+        if words:
             names = []
-            for word in self.restored(token):
+            for word in words:
                 names.append(word)
                 names += [word[:n] + "…" for n in PREFIXES if len(word) > n]
             names = list(dict.fromkeys(names))
             got = names if self.chosen is None else [self.chosen[x] for x in names if x in self.chosen]
-            if len(token) <= 64:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[token] = got
+        if len(token) <= 64:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[token] = got
         return got
 
     def count(self, text: str) -> Counter:
         """Features of a whole text and how often they stand in it."""
         out: Counter = Counter()
+        get = self.kept.get
         for token, n in Counter(text.split()).items():
-            for f in self.features(token):
+            if (got := get(token)) is None:
+                got = self.features(token)
+            for f in got:
                 out[f] += n
         for m in _SPACED.finditer(text):
             for f in self.features(m.group(0)):
