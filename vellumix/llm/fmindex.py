@@ -290,7 +290,7 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     if not spans:
         return text
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]  # folding keeps positions
     out, begin = [], 0
     for a, b in spans:
         out.append(text[begin : at[a][0]])
