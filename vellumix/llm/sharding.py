@@ -7,8 +7,13 @@ Groups of equal texts stay in one shard, but for groups of more than a shard's f
 no balanced assignment can keep whole: those are cut into PIECES pieces for each share they fill.
 Groups of more than one HEAVY-th of all bytes or rows (so at most 2 x HEAVY of them) are
 partitioned first, on the driver. The others are dealt by hash into blocks of about BLOCK groups.
-Each block is partitioned in its own task, starting from its part of the heavy groups' sums, so
-that it fills up what these leave uneven; nothing but block-sized lists is ever in one place.
+Each block is partitioned in its own task, starting from its part of the sums so far, so that it
+fills up what these leave uneven; nothing but block-sized lists is ever in one place.
+
+Blocks do not know each other, so no group may be large for its block: those of more than one
+PART-th of a block's share of a shard are taken out and go first, in larger blocks of their own,
+and so on until the rest is one block. That leaves shards x PART groups of each block at most
+(one in 52 groups), so a billion groups need four rounds.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ SHARDS = 24
 HEAVY = 1000
 BLOCK = 10_000
 PIECES = 8
+PART = 8
 #: The blocks are dealt to at most so many tasks; a number that Spark chose could leave all blocks to one.
 MOST_TASKS = 10_000
 
@@ -70,17 +76,48 @@ def _extend(xs: list[int], ys: list[int]) -> list[int]:
     return xs
 
 
-def _block_partitioner(shards: int, heavy_sums: list[int], light_bytes: int):
+def _block_partitioner(shards: int, sums: list[int], level_bytes: int):
     def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
         rows = sorted(zip(batch.column("bytes").to_pylist(), batch.column("key").to_pylist()), reverse=True)
         total = sum(r[0] for r in rows)
-        seed = [s * total / max(light_bytes, 1) for s in heavy_sums]
+        seed = [s * total / max(level_bytes, 1) for s in sums]
         at = differencing([r[0] for r in rows], shards, seed, key[0].as_py() % shards)
-        return pa.table({"key": pa.array([r[1] for r in rows], pa.binary()), "shard": pa.array(at[: len(rows)], pa.int32())})
+        return pa.table({"key": pa.array([r[1] for r in rows], pa.binary()), "shard": pa.array(at[: len(rows)], pa.int32()), "bytes": pa.array([r[0] for r in rows], pa.int64())})
 
     return run
 
 
+def _deal(light: DataFrame, shards: int, sums: list[int]) -> DataFrame:
+    """(key, shard) of every group of light(key, bytes), starting from the shards' sums."""
+    levels, floor = [], -1
+    while True:
+        level = light.where(F.col("bytes") > floor)
+        all_ = level.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        blocks = max(1, -(-all_.n // BLOCK))
+        edge = all_.bytes // (blocks * shards * PART)
+        # groups of one size cannot be told apart by the edge; they are small enough or stay
+        if blocks == 1 or edge <= floor:
+            levels.append((level, blocks))
+            break
+        levels.append((level.where(F.col("bytes") <= edge), blocks))
+        floor = edge
+    sums, parts = list(sums), []
+    for level, blocks in reversed(levels):
+        total = level.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().bytes
+        if not total:
+            continue
+        level = level.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+        dealt = level.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(_block_partitioner(shards, list(sums), total), "key binary, shard int, bytes bigint")
+        dealt = cut_lineage(dealt)
+        for r in dealt.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
+            sums[r.shard] += r.bytes
+        parts.append(dealt.select("key", "shard"))
+    out = parts[0] if parts else light.select("key", F.lit(0).alias("shard"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shard and slot of every row of docs(doc_id, text), shard byte counts being near equal.
 
@@ -115,9 +152,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     placed = spark.createDataFrame([(bytes(r.key), r.piece, s) for r, s in zip(cut, at)], "key binary, piece int, heavy_shard int")
 
-    blocks = max(1, -(-all_.groups // BLOCK))
-    light = groups.where(~is_heavy).select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
-    dealt = light.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(_block_partitioner(shards, sums, all_.bytes - sum(sums)), "key binary, shard int")
+    dealt = _deal(groups.where(~is_heavy).select("key", "bytes"), shards, sums)
 
     keep = ["doc_id", "size", "text_crc32", "at"]
     put = tagged.where(F.col("pieces").isNotNull()).join(F.broadcast(placed), ["key", "piece"]).select(*keep, F.col("heavy_shard").alias("shard"))
