@@ -13,15 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumix.llm import bpe, crf, fmindex, langid, simhash
+from vellumix.llm import bpe, crf, fmindex, langid, neardup
 from vellumix.llm._common import cut_lineage, table
 
 #: A document below this share of its main language, or without a letter, is rejected.
 LEAST_LANGUAGE_SHARE = 0.5
 #: A document below this probability of being good is rejected.
 LEAST_QUALITY = 0.3
-#: Documents at a Jaccard similarity of 0.8 of their five-word shingles mostly differ in so many bits at most.
-NEAR_BITS = 6
+#: Documents at a Jaccard similarity of 0.8 or more of their five-word shingles are near duplicates (neardup.LEAST).
+NEAR_SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate class (five-word shingles)."""
-    return simhash.keep_one_of_each(docs, shingle=5, radius=NEAR_BITS)
+    return neardup.keep_one_of_each(docs, shingle=NEAR_SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
