@@ -7,30 +7,74 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of text that a Python worker gets at once, if the session does not say otherwise.
 ARROW_ROWS = 1024
+ARROW_BYTES = 8 << 20
+#: A key is heavy if it has more than one in HEAVY of all rows, so there are fewer than HEAVY heavy keys.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small: texts can be long, and a worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in rows and bytes: texts can be long, and a worker holds one batch at a time.
 
+    A bound that the session has been given already stays as it is.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) in (None, "10000", "-1", str(2**31 - 1), f"{2**31 - 1}b"):
+            spark.conf.set(name, str(most))
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the written copy.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests,
-    single machine) a temporary folder is used.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables: spark.checkpoint.dir, read from the session.
+
+    Where it is unset, a session on this machine alone gets a temporary folder; any other raises,
+    as executors on other machines could not read what one of them writes there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="vellumix-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from the written copy."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def free_name(taken: list[str], stem: str) -> str:
+    """A column name that no column has, whatever its case."""
+    names = {c.lower() for c in taken}
+    return next(n for n in (stem + "_" * k for k in range(1, len(names) + 2)) if n.lower() not in names)
+
+
+def look_up(rows: DataFrame, entries: DataFrame, key: str, *, outer: bool = False) -> DataFrame:
+    """rows joined with entries, which has one row for each key, so that no task gets a hot key.
+
+    Keys that many rows share are looked up by broadcast (there are fewer than HEAVY of them, and
+    entries has a bounded width), all others by a join on the key. A null key finds nothing.
+    """
+    counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= HEAVY))
+    total = rows.count() if not counts.isEmpty() else 0
+    heavy = counts.where(F.col("__n") * HEAVY > total).where(F.col(key).isNotNull()).select(key)
+    kind = "left" if outer else "inner"
+    if not total or heavy.isEmpty():
+        return rows.join(entries, key, kind)
+    few = F.broadcast(heavy)
+    hot = rows.join(few, key, "left_semi").join(F.broadcast(entries.join(few, key, "left_semi")), key, kind)
+    return hot.unionByName(rows.join(few, key, "left_anti").join(entries.join(few, key, "left_anti"), key, kind))
+
+
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,13 +1,18 @@
 """Byte-level BPE: encode whole texts by merge ranks and decode ids back to bytes.
 
-A pre-token is merged with a hierarchical-bitmap rank queue. One bucket per merge rank
+Pre-tokens are merged with a hierarchical-bitmap rank queue. One bucket per merge rank
 holds the linked-list positions whose pair has that rank; two levels of 256-bit words
 mark non-empty buckets, so find-first-set at each level yields the lowest rank in constant
 time (vocabularies of up to 65,536 ids; more only widens the top word). A merge changes at most two neighbouring pairs; entries they leave behind are skipped
 when popped because the position's current rank differs. The cost is linear in the pre-token
-length (times a small heap factor for equal ranks), so a megabyte without a break is fine.
+length, so a megabyte without a break is fine.
 
-Nulls encode as the empty text; invalid UTF-8 is replaced before encoding. Repeated rows
+Pre-tokens that are not known yet lie side by side in one linked list (GROUP bytes of them, or one
+longer one), with no pair across their borders. They are independent, so one queue serves
+all, and a step that finds the lowest rank is shared by every pre-token that has it.
+
+Nulls encode as the empty text; invalid UTF-8 is replaced before encoding. Empty texts have no
+ids, texts of any length are encoded whole, an empty table gives no rows. Repeated rows
 give repeated results; other columns of the input are ignored.
 """
 
@@ -17,9 +22,9 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +33,14 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches
 
 BIT = [1 << i for i in range(256)]
-CHUNKS_KEPT = 400_000
+#: Bytes of results that a worker keeps for words and for pre-tokens each (keys, values and table together, about).
+KEPT_BYTES = 128 << 20
+ENTRY_BYTES = 240
 LONGEST_KEPT = 64
+#: Bytes of new pre-tokens that share one queue.
+GROUP = 1 << 19
+#: Fixed value: the pattern of which it is known that no match runs from a non-space into a space.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,16 +49,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Min-queue of (rank, position): a two-level bitmap of 256-bit words over one bucket per rank.
+    """Min-queue of (rank, positions): a two-level bitmap of 256-bit words over one bucket per rank.
 
     ``ByteBpe.merge`` is its one user and works on the fields directly, as a Python call for
-    each of its steps would cost more than the step.
+    each of its steps would cost more than the step. A bucket's positions are taken from its end.
     """
 
     def __init__(self, ranks: int):
         self.words = [0] * (ranks // 256 + 1)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
+    def fill(self, rank: np.ndarray) -> None:
+        """Enter every position with a rank; each bucket is in descending order."""
+        at = np.flatnonzero(rank >= 0)[::-1]
+        at = at[np.argsort(rank[at], kind="stable")]
+        edge = np.flatnonzero(np.diff(rank[at])) + 1
+        for part in np.split(at, edge) if len(at) else ():
+            r = int(rank[part[0]])
+            self.buckets[r] = part.tolist()
+            self.words[r >> 8] |= BIT[r & 255]
+            self.top |= 1 << (r >> 8)
+
 
 class ByteBpe:
     """Encoder and decoder for one vocabulary and pre-token pattern."""
@@ -55,125 +78,175 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        self.can_cut = pattern == SPLIT_PATTERN
         self.near_space = re.compile(r" \s|\s ").search
-        self.longest = max(map(len, ranks), default=1)
+        self.lone_space = re.compile(r"(?<!\s) (?!\s)").split
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.vocab[v] = k
         self.queue = RankQueue(len(self.vocab))
-        self.after, self.first, self.tokens = _Kept(self._after), _Kept(self._chunk), _Kept(self._token)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return [whole]
-        words, buckets, bit, longest, n = self.queue.words, self.queue.buckets, BIT, self.longest, len(piece)
-        nxt, prv = list(range(1, n + 2)), list(range(-1, n))
-        now = [-1] * (n + 1)  # rank of the pair that starts at a position, -1 if none
-        top = 0
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                now[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # ascending positions are a heap
-                else:
-                    buckets[r] = [i]
-                    words[r >> 8] |= bit[r & 255]
-                    top |= 1 << (r >> 8)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.words: dict[str, bytes] = {}  # ids of a word behind a space
+        self.tokens: dict[str, bytes] = {}  # ids of a pre-token
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, as little-endian unsigned 32-bit integers."""
+        data = b"".join(pieces)
+        n = len(data)
+        if not n:
+            return [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size)
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        pair = np.full(n + 1, -1, np.int64)
+        pair[: n - 1] = self.double[raw[:-1] << 8 | raw[1:]]
+        pair[end[end > 0] - 1] = -1
+        first = np.zeros(n + 1, np.uint8)  # where a pre-token starts, and the end
+        first[end] = 1
+        first[0] = 1
+        queue, get, bit = self.queue, self.ranks.get, BIT
+        queue.fill(pair)
+        words, buckets, top = queue.words, queue.buckets, queue.top
+        # boxed numbers are quicker, but too large for a pre-token of many megabytes
+        held = list if n < 4 * GROUP else lambda x: array("q", x)
+        now, first = held(pair.tolist()) if held is list else array("q", pair.tobytes()), first.tobytes()
+        nxt, prv = held(range(1, n + 2)), held(range(-1, n))
+        ids = self.single[raw]
+        ids = ids.tolist() if held is list else array("q", ids.tobytes())
+        gone = bytearray(n)
+        late: set[int] = set()  # ranks that got a position out of order
         while top:
-            # find first set: the lowest rank with a non-empty bucket, and its leftmost position
+            # find first set: the lowest rank with a non-empty bucket
             high = top & -top
             a = high.bit_length() - 1
             word = words[a]
             low = word & -word
             rank = (a << 8) + low.bit_length() - 1
             bucket = buckets[rank]
-            if len(bucket) == 1:
-                i = bucket[0]
-                del buckets[rank]
-                words[a] = word = word ^ low
-                if not word:
-                    top ^= high
-            else:
-                i = heappop(bucket)
-            if now[i] != rank:  # stale
-                continue
-            j = nxt[i]
-            nxt[i] = k = nxt[j]
-            now[j] = now[i] = -1
-            if k < n:
+            if rank in late:
+                late.discard(rank)
+                bucket.sort(reverse=True)
+            while bucket:
+                i = bucket.pop()
+                if now[i] != rank:  # stale
+                    continue
+                lower = False
+                j = nxt[i]
+                nxt[i] = k = nxt[j]
                 prv[k] = i
-                e = nxt[k]
-                if e - i <= longest and (r := get(piece[i:e])) is not None:
+                now[j] = -1
+                gone[j] = 1
+                ids[i] = rank
+                r = None if first[k] else get(data[i : nxt[k]])
+                if r is None:
+                    now[i] = -1
+                else:
                     now[i] = r
-                    if r in buckets:
-                        heappush(buckets[r], i)
-                    else:
+                    if (b := buckets.get(r)) is None:
                         buckets[r] = [i]
                         words[r >> 8] |= bit[r & 255]
                         top |= 1 << (r >> 8)
-            p = prv[i]
-            if p >= 0:
-                if k - p <= longest and (r := get(piece[p:k])) is not None:
-                    now[p] = r
-                    if r in buckets:
-                        heappush(buckets[r], p)
                     else:
-                        buckets[r] = [p]
-                        words[r >> 8] |= bit[r & 255]
-                        top |= 1 << (r >> 8)
-                else:
-                    now[p] = -1
-        out, i, ranks = [], 0, self.ranks
-        while i < n:
-            j = nxt[i]
-            out.append(ranks[piece[i:j]])
-            i = j
-        return out
+                        b.append(i)
+                        if r != rank:
+                            late.add(r)
+                    lower = r < rank
+                if not first[i]:
+                    p = prv[i]
+                    r = get(data[p:k])
+                    if r is None:
+                        now[p] = -1
+                    else:
+                        now[p] = r
+                        if (b := buckets.get(r)) is None:
+                            buckets[r] = [p]
+                            words[r >> 8] |= bit[r & 255]
+                            top |= 1 << (r >> 8)
+                        else:
+                            b.append(p)
+                            if r != rank:
+                                late.add(r)
+                        lower = lower or r < rank
+                if lower:  # what is left of this rank waits
+                    break
+            if not bucket:
+                del buckets[rank]
+                words[a] ^= low
+                if not words[a]:
+                    top ^= high
+        queue.top = 0
+        alive = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
+        out = np.array(ids, np.int64)[alive].astype("<u4").tobytes()
+        cut = (4 * np.searchsorted(alive, end)).tolist()
+        return [out[x:y] for x, y in zip([0, *cut], cut)]
+
+    def _learn(self, tokens: Iterable[str]) -> None:
+        """Enter the ids of the pre-tokens that are not known yet."""
+        known, ranks = self.tokens, self.ranks
+        names, group, size = [], [], 0
+        for token in tokens:
+            raw = token.encode()
+            if (whole := ranks.get(raw)) is not None:
+                known[token] = whole.to_bytes(4, "little")
+                continue
+            names.append(token)
+            group.append(raw)
+            size += len(raw)
+            if size >= GROUP:
+                known.update(zip(names, self.merge(group)))
+                names, group, size = [], [], 0
+        known.update(zip(names, self.merge(group)))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The text cut at spaces that stand alone between other characters; None if it can't be."""
+        if not self.can_cut:
+            return None
+        if self.near_space(text) or text[:1] == " " or text[-1:] == " ":
+            return self.lone_space(text)
+        return text.split(" ")
 
-    def _token(self, token: str) -> bytes:
-        return array("I", self.merge(token.encode())).tobytes()
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers.
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.find(chunk)))
+        No match of SPLIT_PATTERN runs from a non-space into a space, so a text is cut before
+        each space that stands alone and each word behind one looked up whole; with any other pattern,
+        texts are matched in one go.
+        """
+        words, tokens, find = self.words, self.tokens, self.find
+        cut = [self._cut(t) for t in texts]
+        seen = {w for c in cut if c for w in c[1:]}
+        new = seen.difference(words)
+        heads = [find(t if c is None else c[0]) for t, c in zip(texts, cut)]
+        found = {w: find(" " + w) for w in new}
+        self._learn({x for own in (*found.values(), *heads) for x in own}.difference(tokens))
+        words.update((w, b"".join([tokens[x] for x in own])) for w, own in found.items())
+        out = [b"".join([*map(tokens.__getitem__, h), *map(words.__getitem__, c[1:] if c else ())]) for h, c in zip(heads, cut)]
+        self._shrink(seen, heads, found)
+        return out
 
-    def _after(self, piece: str) -> bytes:
-        return self._chunk(" " + piece)
+    def _shrink(self, seen: set[str], heads: list[list[str]], found: dict[str, list[str]]) -> None:
+        """Keep the tables within their bytes: what was not met just now goes first, and long keys always."""
+        for long in [w for w in seen if len(w) > LONGEST_KEPT]:
+            self.words.pop(long, None)
+        for own in (*heads, *found.values()):
+            for x in own:
+                if len(x) > LONGEST_KEPT:
+                    self.tokens.pop(x, None)
+        most = KEPT_BYTES // ENTRY_BYTES
+        if len(self.words) > most:
+            self.words = {w: self.words[w] for w in seen if w in self.words} if len(seen) < most // 2 else {}
+        if len(self.tokens) > most:
+            met = {x for own in found.values() for x in own}
+            self.tokens = {x: self.tokens[x] for x in met if x in self.tokens} if len(met) < most // 2 else {}
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        No match of the pattern runs from a non-space into a space, so a text whose spaces all
-        stand alone between other characters can be cut before each space and each cut piece
-        looked up whole; any other text is matched in one go.
-        """
-        if self.near_space(text) or text[:1] == " " or text[-1:] == " ":
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.after.__getitem__, rest))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, array("I", ids)))
 
 
-class _Kept(dict):
-    """Bounded memory of results by key; very long keys are computed anew each time."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        out = self.make(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[key] = out
-        return out
-
-
 _codecs: dict[tuple, ByteBpe] = {}
 
 
@@ -196,9 +269,7 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: b
         sha = hashlib.sha256
         for batch in batches:
             counts, digests, decoded, ids = [], [], [], []
-            for raw in batch.column(1):
-                raw = raw.as_py()
-                got = codec.encode(raw.decode("utf-8", "replace") if raw else "")
+            for got in codec.encode_all([raw.decode("utf-8", "replace") if raw else "" for raw in batch.column(1).to_pylist()]):
                 counts.append(len(got) // 4)
                 digests.append(sha(got).hexdigest())
                 decoded.append(sha(codec.decode(got)).hexdigest())
