@@ -34,7 +34,7 @@ from ._common import bounded_batches
 
 BIT = [1 << i for i in range(256)]
 #: Bytes of results that a worker keeps for words and for pre-tokens each (keys, values and table together, about).
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 160 << 20
 ENTRY_BYTES = 240
 LONGEST_KEPT = 64
 #: Bytes of new pre-tokens that share one queue.
@@ -181,12 +181,12 @@ class ByteBpe:
         cut = (4 * np.searchsorted(alive, end)).tolist()
         return [out[x:y] for x, y in zip([0, *cut], cut)]
 
-    def _learn(self, tokens: Iterable[str]) -> None:
-        """Enter the ids of the pre-tokens that are not known yet."""
-        known, ranks = self.tokens, self.ranks
+    def _learn(self, known: dict[str, bytes], tokens: Iterable[str], lead: bytes) -> None:
+        """Enter the ids of the pre-tokens lead + token that known does not have yet."""
+        ranks = self.ranks
         names, group, size = [], [], 0
         for token in tokens:
-            raw = token.encode()
+            raw = lead + token.encode()
             if (whole := ranks.get(raw)) is not None:
                 known[token] = whole.to_bytes(4, "little")
                 continue
@@ -210,35 +210,49 @@ class ByteBpe:
         """Ids of texts as little-endian unsigned 32-bit integers.
 
         No match of SPLIT_PATTERN runs from a non-space into a space, so a text is cut before
-        each space that stands alone and each word behind one looked up whole; with any other pattern,
-        texts are matched in one go.
+        each space that stands alone and each word behind one looked up whole; a word of letters
+        is one pre-token with its space. With any other pattern, texts are matched in one go.
         """
         words, tokens, find = self.words, self.tokens, self.find
         cut = [self._cut(t) for t in texts]
-        seen = {w for c in cut if c for w in c[1:]}
-        new = seen.difference(words)
-        heads = [find(t if c is None else c[0]) for t, c in zip(texts, cut)]
-        found = {w: find(" " + w) for w in new}
-        self._learn({x for own in (*found.values(), *heads) for x in own}.difference(tokens))
-        words.update((w, b"".join([tokens[x] for x in own])) for w, own in found.items())
-        out = [b"".join([*map(tokens.__getitem__, h), *map(words.__getitem__, c[1:] if c else ())]) for h, c in zip(heads, cut)]
-        self._shrink(seen, heads, found)
+        heads = [find(t if c is None else c.pop(0)) for t, c in zip(texts, cut)]
+        seen: set[str] = set().union(*(c for c in cut if c))
+        letters, found = set(), {}
+        for w in seen.difference(words):
+            if w.isalpha():
+                letters.add(w)
+            else:
+                found[w] = find(" " + w)
+        other = set()
+        for own in found.values():
+            if own[0][0] == " " and len(own[0]) > 1:
+                letters.add(own[0][1:])
+                other.update(own[1:])
+            else:
+                other.update(own)
+        for own in heads:
+            other.update(own)
+        self._learn(words, letters.difference(words), b" ")
+        self._learn(tokens, other.difference(tokens), b"")
+        for w, own in found.items():
+            if own[0][0] == " " and len(own[0]) > 1:
+                words[w] = b"".join([words[own[0][1:]], *map(tokens.__getitem__, own[1:])])
+            else:
+                words[w] = b"".join(map(tokens.__getitem__, own))
+        out = [b"".join([*map(tokens.__getitem__, h), *map(words.__getitem__, c or ())]) for h, c in zip(heads, cut)]
+        self._shrink(seen | letters, other)
         return out
 
-    def _shrink(self, seen: set[str], heads: list[list[str]], found: dict[str, list[str]]) -> None:
+    def _shrink(self, seen: set[str], other: set[str]) -> None:
         """Keep the tables within their bytes: what was not met just now goes first, and long keys always."""
-        for long in [w for w in seen if len(w) > LONGEST_KEPT]:
-            self.words.pop(long, None)
-        for own in (*heads, *found.values()):
-            for x in own:
-                if len(x) > LONGEST_KEPT:
-                    self.tokens.pop(x, None)
-        most = KEPT_BYTES // ENTRY_BYTES
-        if len(self.words) > most:
-            self.words = {w: self.words[w] for w in seen if w in self.words} if len(seen) < most // 2 else {}
-        if len(self.tokens) > most:
-            met = {x for own in found.values() for x in own}
-            self.tokens = {x: self.tokens[x] for x in met if x in self.tokens} if len(met) < most // 2 else {}
+        for table, met in ((self.words, seen), (self.tokens, other)):
+            for long in [w for w in met if len(w) > LONGEST_KEPT]:
+                table.pop(long, None)
+            most = KEPT_BYTES // ENTRY_BYTES
+            if len(table) > most:
+                left = {w: table[w] for w in met if w in table} if len(met) < most // 2 else {}
+                table.clear()
+                table.update(left)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
