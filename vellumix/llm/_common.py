@@ -90,15 +90,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     """(text, y) of at most about max_rows labelled documents outside the held-out fold.
 
     Labels are sampled by a hash threshold, so the sample is the same at every partitioning
-    and its expected size never passes max_rows; that bound is what allows the broadcast.
+    and its expected size never passes max_rows; that bound is what allows the broadcast. Should
+    documents repeat ids, the rows found are thinned by a hash of their texts in the same way.
     Rows with a null id or label are left out; an id labelled twice gives two rows.
     """
     lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where(
         F.col("_id").isNotNull() & F.col("y").isNotNull() & ~held_out("_id", mod, rem)
     )
+    span = 2**62
+
+    def thinned(rows: DataFrame, n: int, key: str) -> DataFrame:
+        return rows.where(F.xxhash64(key).bitwiseAND(F.lit(span - 1)) < F.lit(int(max_rows / n * span)))
+
     n = lab.count()
     if n > max_rows:
-        edge = int((max_rows / n) * 2**62)
-        lab = lab.where((F.xxhash64("_id").bitwiseAND(F.lit(2**62 - 1))) < F.lit(edge)).limit(2 * max_rows)
-    d = docs.select(F.col("doc_id").alias("_id"), F.col("text"))
-    return d.join(F.broadcast(lab), "_id").select("text", "y")
+        lab = thinned(lab, n, "_id").limit(2 * max_rows)
+    found = cut_lineage(docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(F.broadcast(lab), "_id").select("text", "y"))
+    n = found.count()
+    return found if n <= 2 * max_rows else thinned(found, n, "text").limit(2 * max_rows)

@@ -2,8 +2,9 @@
 
 Each language has a model of letter trigrams, hashed into BUCKETS cells. A document is cut
 into blocks of BLOCK bytes and taken as a mixture: expectation-maximisation estimates the
-language proportions from the n-gram likelihoods of its blocks, for the 1, 2, ... MAX_LANGS
-languages that weigh most, and the set with the best penalised likelihood is kept. A document
+language proportions from the n-gram likelihoods of its blocks, for the 1, 2, 3, ...
+languages that weigh most, and the set with the best penalised likelihood is kept; larger sets are
+tried until the penalty alone rules them out. A document
 whose best single language can't be beaten by any set, because no block favours another
 enough, keeps it without further rounds; that bound is exact. Everything runs in numpy over
 the bytes of an Arrow batch, some hundred thousand positions at a time.
@@ -28,7 +29,8 @@ from ._common import bounded_batches, held_out
 
 BUCKETS = 1 << 16
 BLOCK = 32
-MAX_LANGS = 4
+#: More learnt languages than this raise an error: the model has 256 KB for each, and is broadcast.
+MOST_LANGS = 1000
 ROUNDS = 12
 PENALTY = 1.0
 SMOOTHING = 0.5
@@ -40,7 +42,6 @@ UNDETERMINED = "und"
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = np.arange(27, 155)
-_letter = re.compile(r"[^\W\d_]").search
 _ascii_letter = re.compile(rb"[A-Za-z]").search
 
 
@@ -51,7 +52,7 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ascii_letter(text)) or any(b > 127 for b in text) and bool(_letter(text.decode("utf-8", "replace")))
+    return bool(_ascii_letter(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
@@ -80,7 +81,10 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language names and the log-likelihood of each bucket, languages x buckets."""
-    table = ngram_counts(docs).toArrow()
+    counted = ngram_counts(docs)
+    table = counted.limit(MOST_LANGS * BUCKETS + 1).toArrow()
+    if table.num_rows > MOST_LANGS * BUCKETS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
     lang, bucket, n = (table.column(i) for i in range(3))
     return log_likelihoods(lang.to_pylist(), bucket.to_numpy(), n.to_numpy())
 
@@ -167,7 +171,10 @@ class Mixture:
 
         free, _ = em(np.full((len(texts), langs), 1.0 / langs))
         order = np.argsort(-free, axis=1, kind="stable")
-        for k in range(2, min(MAX_LANGS, langs) + 1):
+        for k in range(2, langs + 1):
+            # a set of k has at most the value 0 before its penalty
+            if (value >= -PENALTY * (k - 1) * np.log(count + 1)).all():
+                break
             start = np.zeros_like(free)
             np.put_along_axis(start, order[:, :k], 1.0 / k, axis=1)
             p, got = em(start)

@@ -1,9 +1,11 @@
 """Near-duplicate classes by exact Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of shingle hashes have a Jaccard similarity of LEAST or more;
-classes are the connected components. Every link is verified on the whole sets; candidates come
-from MinHash: a text enters one bucket for each of BANDS bands of BAND_ROWS minima, and only texts
-that share a bucket are compared. A pair at similarity s shares none with probability
+classes are the connected components. Every link is verified on the whole sets. Candidates are the
+pairs that operator 7's BK-trees find within RADIUS bits of their SimHashes (of the same shingles),
+and, as texts at a similarity of 0.8 mostly differ in more bits than any tree can search, the
+buckets of MinHash: a text enters one bucket for each of BANDS bands of BAND_ROWS minima, and only
+texts that share a bucket are compared. A pair at similarity s shares none with probability
 (1 - s^BAND_ROWS)^BANDS, which is 5e-7 at 0.8 and less above.
 
 Distinct texts are compared, never rows. In each bucket the text with the least number is compared
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut_lineage
-from .simhash import _propagate
+from ._common import bounded_batches, cut_lineage, free_name, look_up
+from .simhash import RADIUS, _links, _propagate, simhash_of
 
 SHINGLE = 5
 #: Least Jaccard similarity of linked texts, as a fraction.
@@ -78,22 +80,23 @@ def parity(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key, n, buckets) of every row: n distinct shingles, key the digest of the words."""
+    """(doc_id, key, n, fp, buckets) of every row: n distinct shingles, fp their SimHash, key the digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n, found = [], [], []
+            keys, n, fps, found = [], [], [], []
             for t in batch.column(1):
                 words = words_of(t.as_py())
                 hashes = shingles(words, size)
                 keys.append(key_of(words))
                 n.append(len(hashes))
+                fps.append(simhash_of(hashes))
                 found.append(buckets(hashes))
-            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "buckets"])
+            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "fp", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n bigint, buckets array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n bigint, fp bigint, buckets array<bigint>")
 
 
 def _key(text):
@@ -183,26 +186,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut_lineage(sizes.where(F.col("shared") * down >= (F.size("x") + F.size("y") - F.col("shared")) * up).select("u", "v"))
 
 
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v): texts of one SimHash with the first of them, and firsts whose SimHashes lie within the radius."""
+    first = cut_lineage(texts.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("k")))
+    same = look_up(texts.where("n > 0").select("fp", F.col("id").alias("v")), first.where("k > 1").select("fp", F.col("id").alias("u")), "fp").select("u", "v")
+    near = _links(first.select("fp"), RADIUS)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("id").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("id").alias("b")), "v")
+    return same.where("u <> v").unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, key, root) of every row of docs(doc_id, text): the digest of its words and its class.
 
     Texts with the same words, A-Z lower-cased, have the same key; null, empty and blank texts are
-    such texts. Repeated rows and null ids are kept, other columns are ignored, an empty table
-    gives an empty result.
+    such texts. Repeated rows and null ids are kept, other columns are ignored, texts of any length
+    are read whole, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     up, down = LEAST
     rows = cut_lineage(_sketches(docs, shingle))
-    texts = cut_lineage(rows.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("id"), "key", "n", "buckets"))
+    texts = cut_lineage(rows.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("id"), "key", "n", "fp", "buckets"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select(F.explode("buckets").alias("bucket"), "id", "n").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
     members = cut_lineage(dealt.mapInArrow(_crowded, "bucket bigint, id bigint, n bigint"))
-    sets = _sets(docs, texts.select("id", "key").join(members.select("id").distinct(), "id"), shingle)
+    close = cut_lineage(_simhash_pairs(texts))
+    wanted = members.select("id").union(close.select("u")).union(close.select("v")).distinct()
+    sets = _sets(docs, texts.select("id", "key").join(wanted, "id"), shingle)
 
     first = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
     star = members.join(first, "bucket").where((F.col("id") != F.col("c.id")) & (F.col("n") * down >= F.col("c.n") * up) & (F.col("c.n") * down >= F.col("n") * up))
-    links = _verified(star.select(F.col("c.id").alias("u"), F.col("id").alias("v")).distinct(), sets)
+    pairs = star.select(F.col("c.id").alias("u"), F.col("id").alias("v")).union(close.select(F.least("u", "v"), F.greatest("u", "v")))
+    links = _verified(pairs.distinct(), sets)
     root = _propagate(links).withColumnRenamed("fp", "id")
 
     placed = members.join(root, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
@@ -212,18 +227,20 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     if not more.isEmpty():
         root = _propagate(links.union(more)).withColumnRenamed("fp", "id")
     named = texts.select("id", "key").join(root, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
-    return rows.select("doc_id", "key").join(named, "key")
+    return look_up(rows.select("doc_id", "key"), named, "key")
 
 
 def keep_one_of_each(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """docs without all but one row of every near-duplicate class.
 
     The row with the smallest doc_id stays (null only in a class without any id); of rows that
-    share it, the one with the smallest key, and of those any (they have the same words).
+    share it, the one with the smallest key, and of those any (they have the same words). An empty
+    table stays empty; other columns, whatever their names, are carried along.
     """
     classes = jaccard_classes(docs, shingle=shingle)
     least = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     # ids are compared inside a struct, where nulls are equal
-    keep = least.select(F.struct(F.col("m.doc_id").alias("id")).alias("__id"), F.col("m.key").alias("__key"))
-    marked = docs.withColumn("__id", F.struct(F.col("doc_id").alias("id"))).withColumn("__key", _key(F.col("text")))
-    return marked.join(keep, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    id_, key = free_name(docs.columns, "id_"), free_name(docs.columns, "key_")
+    keep = least.select(F.struct(F.col("m.doc_id").alias("id")).alias(id_), F.col("m.key").alias(key))
+    marked = docs.withColumn(id_, F.struct(F.col("doc_id").alias("id"))).withColumn(key, _key(F.col("text")))
+    return marked.join(keep, [id_, key], "left_semi").dropDuplicates([id_, key]).drop(id_, key)

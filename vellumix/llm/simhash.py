@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut_lineage
+from ._common import bounded_batches, cut_lineage, look_up
 
 RADIUS = 3
 HOT_SHARD = 4096
@@ -50,6 +50,11 @@ def simhash(text: bytes, shingle: int = 3) -> int:
         begin = (end - size)[: 1 - shingle].tolist()
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[a:b], 42) for a, b in zip(begin, end[shingle - 1 :].tolist(), strict=True)]
+    return simhash_of(hashes)
+
+
+def simhash_of(hashes) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], np.uint64)
@@ -70,17 +75,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def fingerprint_of(spark, shingle: int = 3):
-    """A Column function: text -> fingerprint as a long."""
-    bounded_batches(spark)
-
-    @F.arrow_udf("bigint")
-    def sketch(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([simhash(t or b"", shingle) for t in text.to_pylist()], np.uint64).view(np.int64))
-
-    return lambda text: sketch(text.cast("binary"))
-
-
 class Forest:
     """BK-trees of many shards: rows are sorted by shard, the first row of a shard is its root."""
 
@@ -238,10 +232,10 @@ def _propagate(links: DataFrame) -> DataFrame:
     edges = cut_lineage(links.select("u", "v").union(links.select("v", "u")).distinct())
     label = edges.select(F.col("u").alias("fp"), F.col("u").alias("root")).distinct()
     while True:
-        near = edges.join(label.select(F.col("fp").alias("v"), "root"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("root").alias("near"))
+        near = look_up(edges, label.select(F.col("fp").alias("v"), "root"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("root").alias("near"))
         met = label.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         far = met.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-        label = cut_lineage(met.join(far, "root", "left").select("fp", "was", F.least("root", "up").alias("root")))
+        label = cut_lineage(look_up(met, far, "root", outer=True).select("fp", "was", F.least("root", "up").alias("root")))
         if label.where(F.col("was") != F.col("root")).isEmpty():
             return label.select("fp", "root")
         label = label.select("fp", "root")
@@ -260,26 +254,9 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIU
     root = _propagate(_links(fps.select("fp"), radius))
     named = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+    classes = cut_lineage(look_up(named, least, "root").select("fp", "component_id"))
+    return look_up(rows, classes, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
-def hex16(fp: str):
+def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one row of every near-duplicate class.
-
-    The row with the smallest doc_id stays; of rows that share it, the one with the smallest
-    fingerprint, and of those any (they have the same words). A class without any id keeps one row.
-    """
-    spark, shingle = docs.sparkSession, options.get("shingle", 3)
-    classes = simhash_components(docs, **options)
-    best = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a class without ids is named by its least fingerprint alone
-    keep = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("own")).agg(F.min("fingerprint").alias("fingerprint"))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept"))
-    marked = docs.withColumn("__fp", fingerprint_of(spark, shingle)(F.col("text")))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (hex16("__fp") == keep["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).drop("__fp")
