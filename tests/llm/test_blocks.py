@@ -37,7 +37,7 @@ def items_and_texts():
     words = [f"w{i}" for i in range(40)]
     items = [(str(k), " ".join(rng.choice(words) for _ in range(n)).encode()) for k, n in enumerate([3, 10, 25, 60, 1, 0, 60])]
     items += [(None, items[2][1]), ("9", None)]
-    texts = []
+    texts = [b"nothing to find here"] * 5
     for _ in range(30):
         own = [rng.choice(words) for _ in range(80)]
         source = items[rng.randrange(len(items))][1] or b""
@@ -72,7 +72,9 @@ def test_blocks_in_a_query(spark):
     assert one == many and any(r[2] for r in one)
     assert fmindex.contamination_report(docs.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in fmindex.contamination_report(docs, bench.limit(0)).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # batches with and without a hit follow each other
     odd = docs.selectExpr("doc_id", "text", "doc_id as row", "length(text) as n_chars", "text as `a.b`")
     kept = fmindex.remove_contamination(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(texts)
     assert all((r.text is None) == (r["a.b"] is None) for r in kept.collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

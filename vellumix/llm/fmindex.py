@@ -407,10 +407,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
     row = free_name(docs.columns, "row")
 
     def answer(batch: pa.RecordBatch, masks: list[np.ndarray], items: list[set[str]]) -> pa.RecordBatch:
+        clean = batch.column("text")
         if any(m.any() for m in masks):
-            clean = [remove_spans(t, spans_of(m)) if t else t for t, m in zip(batch.column("text").to_pylist(), masks)]
-            return pa.RecordBatch.from_arrays([batch.column(row), pa.array(clean, pa.binary())], [row, "text"])
-        return batch.select([row, "text"])
+            clean = pa.array([remove_spans(t, spans_of(m)) if t else t for t, m in zip(clean.to_pylist(), masks)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(row), clean], [row, "text"])
 
     carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias(free_name(others, "pad"))).alias(row), F.col("text").cast("binary").alias("text"))
     found = carried.mapInArrow(_scan(blocks, uuid.uuid4().hex, answer), carried.schema)
