@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,39 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+_held: dict = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers outlive tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held_once(key: object, make):
+    """make(), kept in this worker process until another key is asked for.
+
+    One value at a time: workers are reused by whatever runs next, and models or tables of
+    operators that have ended must not add up in them.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidy(run):
+    """run, a function from batches to batches, that gives memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables: spark.checkpoint.dir, read from the session.
 

@@ -30,15 +30,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, held_once, tidy
 
 BIT = [1 << i for i in range(256)]
 #: Bytes of results that a worker keeps for words and for pre-tokens each (keys, values and table together, about).
-KEPT_BYTES = 160 << 20
+KEPT_BYTES = 128 << 20
 ENTRY_BYTES = 240
 LONGEST_KEPT = 64
 #: Bytes of new pre-tokens that share one queue.
-GROUP = 1 << 19
+GROUP = 1 << 17
+#: Characters of texts (or one longer text) that are encoded at once.
+TEXT_CHARS = 1 << 20
 #: Fixed value: the pattern of which it is known that no match runs from a non-space into a space.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,7 +77,8 @@ class RankQueue:
 class ByteBpe:
     """Encoder and decoder for one vocabulary and pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_bytes: int = KEPT_BYTES):
+        self.most = kept_bytes // ENTRY_BYTES
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.can_cut = pattern == SPLIT_PATTERN
@@ -206,7 +209,16 @@ class ByteBpe:
             return self.lone_space(text)
         return text.split(" ")
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, some texts at a time."""
+        at = size = 0
+        for to, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= TEXT_CHARS or to == len(texts):
+                yield from self._encode(texts[at:to])
+                at, size = to, 0
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers.
 
         No match of SPLIT_PATTERN runs from a non-space into a space, so a text is cut before
@@ -248,38 +260,33 @@ class ByteBpe:
         for table, met in ((self.words, seen), (self.tokens, other)):
             for long in [w for w in met if len(w) > LONGEST_KEPT]:
                 table.pop(long, None)
-            most = KEPT_BYTES // ENTRY_BYTES
-            if len(table) > most:
-                left = {w: table[w] for w in met if w in table} if len(met) < most // 2 else {}
+            if len(table) > self.most:
+                left = {w: table[w] for w in met if w in table} if len(met) < self.most // 2 else {}
                 table.clear()
                 table.update(left)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self._encode([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, array("I", ids)))
 
 
-_codecs: dict[tuple, ByteBpe] = {}
-
-
-def bpe_roundtrip(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """Encode and decode every text of docs(doc_id, text).
 
     vocabulary is a rank file on the driver; it has a fixed size (under 1 MB) and is broadcast.
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids
-    (array<int>). One pass without a shuffle.
+    (array<int>). One pass without a shuffle. kept_bytes bounds each of a worker's two tables of
+    known words; it changes the time, not the result.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    name = (vocabulary, pattern)
+    name = (vocabulary, pattern, kept_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codecs.get(name)
-        if codec is None:
-            codec = _codecs[name] = ByteBpe(shared.value, pattern)
+        codec = held_once(name, lambda: ByteBpe(shared.value, pattern, kept_bytes))
         sha = hashlib.sha256
         for batch in batches:
             counts, digests, decoded, ids = [], [], [], []
@@ -298,4 +305,4 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: b
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)

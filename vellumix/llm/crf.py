@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, held_out, labelled_sample
+from ._common import bounded_batches, give_back, held_once, held_out, labelled_sample, tidy
 
 SAMPLE_ROWS = 6000
 SAMPLE_LINES = 300_000
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, mod: int = 5, rem: int = 0, sampl
             total += r.k * r.lines
     keep = spark.createDataFrame([(h,) for h in taken], "h bigint")
     rows = rows.join(F.broadcast(keep), "h").select(F.col("text").cast("binary").alias("text"), "y")
-    got = rows.mapInArrow(run, "y int, x binary, size binary").toArrow()
+    got = rows.mapInArrow(tidy(run), "y int, x binary, size binary").toArrow()
     y = np.array(got.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
@@ -239,9 +239,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, mod: int = 5, rem: int = 0, sampl
     return train(np.vstack(x).astype(float), np.concatenate(size), np.array([len(s) for s in size]), y)
 
 
-_fields: dict[str, Field] = {}
-
-
 def quality_of(spark, field: Field):
     """A Column function: text -> probability that the text is good."""
     shared, key = spark.sparkContext.broadcast(field), uuid.uuid4().hex
@@ -249,11 +246,10 @@ def quality_of(spark, field: Field):
 
     @F.arrow_udf("double")
     def rate(text: pa.Array) -> pa.Array:
-        f = _fields.get(key)
-        if f is None:
-            _fields.clear()
-            f = _fields[key] = shared.value
-        return pa.array(f.score([t or b"" for t in text.to_pylist()]), pa.float64())
+        f = held_once(key, lambda: shared.value)
+        out = pa.array(f.score([t or b"" for t in text.to_pylist()]), pa.float64())
+        give_back()
+        return out
 
     return lambda text: rate(text.cast("binary"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, free_name
+from ._common import bounded_batches, free_name, held_once, tidy
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -288,23 +288,18 @@ def _scan(blocks: list, key: str, answer):
     """Search for every block in shards of the incoming rows; answer(batch, masks, items) makes the result of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def load(shared) -> tuple:
-            got = _phrases.get(key)
-            if got is None or len(blocks) > 1:
-                got = (shared.value, shared.value.pairs())
-                if len(blocks) > 1:  # one block at a time
-                    shared.__dict__.pop("_value", None)
-                else:
-                    _phrases.clear()
-                    _phrases[key] = got
+        def load(at: int) -> tuple:
+            shared = blocks[at]
+            got = held_once((key, at), lambda: (shared.value, shared.value.pairs()))
+            shared.__dict__.pop("_value", None)  # the broadcast's own reference: one block at a time
             return got
 
         def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t for batch in held for t in batch.column("text").to_pylist()]
             items: list[set[str]] = [set() for _ in texts]
             hit = None
-            for shared in blocks:
-                hit = _search(texts, *load(shared), hit, items)
+            for block in range(len(blocks)):
+                hit = _search(texts, *load(block), hit, items)
             at = 0
             for batch in held:
                 yield answer(batch, hit[at : at + batch.num_rows], items[at : at + batch.num_rows])
@@ -322,9 +317,6 @@ def _scan(blocks: list, key: str, answer):
             yield from shard(held)
 
     return run
-
-
-_phrases: dict[str, tuple] = {}
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -378,7 +370,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, spans array<struct<begin bigint, end bigint>>, items array<string>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_scan(blocks, uuid.uuid4().hex, answer), schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_scan(blocks, uuid.uuid4().hex, answer)), schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -413,7 +405,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
         return pa.RecordBatch.from_arrays([batch.column(row), clean], [row, "text"])
 
     carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias(free_name(others, "pad"))).alias(row), F.col("text").cast("binary").alias("text"))
-    found = carried.mapInArrow(_scan(blocks, uuid.uuid4().hex, answer), carried.schema)
+    found = carried.mapInArrow(tidy(_scan(blocks, uuid.uuid4().hex, answer)), carried.schema)
     clean = F.col("text").cast("string")
     new = {"text": clean.alias("text"), "n_chars": F.length(clean).cast("bigint").alias("n_chars")}
     return found.select(*(new.get(c, F.col(f"`{row}`").getField(c).alias(c)) for c in docs.columns))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, held_out
+from ._common import bounded_batches, give_back, held_once, held_out, tidy
 
 BUCKETS = 1 << 16
 BLOCK = 32
@@ -76,7 +76,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -184,9 +184,6 @@ class Mixture:
         return share
 
 
-_models: dict[str, Mixture] = {}
-
-
 def language_of(spark, model: tuple[list[str], np.ndarray]):
     """A Column function: text -> struct(lang_pred string, score double, mixture map<string,double>)."""
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -195,11 +192,9 @@ def language_of(spark, model: tuple[list[str], np.ndarray]):
 
     @F.arrow_udf("struct<lang_pred string, score double, mixture map<string,double>>")
     def detect(text: pa.Array) -> pa.Array:
-        m = _models.get(key)
-        if m is None:
-            _models.clear()
-            m = _models[key] = Mixture(*shared.value)
+        m = held_once(key, lambda: Mixture(*shared.value))
         names, score, share = m.predict(text.to_pylist())
+        give_back()
         mixed = [[(m.names[j], float(s[j])) for j in np.flatnonzero(s > 0.01)] for s in share]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(mixed, kind.field(2).type)], fields=list(kind))
 

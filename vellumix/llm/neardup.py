@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut_lineage, free_name, look_up
+from ._common import bounded_batches, cut_lineage, free_name, look_up, tidy
 from .simhash import RADIUS, _links, _propagate, simhash_of
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "fp", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n bigint, fp bigint, buckets array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, key binary, n bigint, fp bigint, buckets array<bigint>")
 
 
 def _key(text):
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             arrays = [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "hashes", "odd"])
 
-    return cut_lineage(found.dropDuplicates(["id"]).mapInArrow(run, "id bigint, hashes array<bigint>, odd binary"))
+    return cut_lineage(found.dropDuplicates(["id"]).mapInArrow(tidy(run), "id bigint, hashes array<bigint>, odd binary"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     texts = cut_lineage(rows.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("id"), "key", "n", "fp", "buckets"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select(F.explode("buckets").alias("bucket"), "id", "n").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-    members = cut_lineage(dealt.mapInArrow(_crowded, "bucket bigint, id bigint, n bigint"))
+    members = cut_lineage(dealt.mapInArrow(tidy(_crowded), "bucket bigint, id bigint, n bigint"))
     close = cut_lineage(_simhash_pairs(texts))
     wanted = members.select("id").union(close.select("u")).union(close.select("v")).distinct()
     sets = _sets(docs, texts.select("id", "key").join(wanted, "id"), shingle)
@@ -223,7 +223,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     placed = members.join(root, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     left = placed.join(open_.select("bucket"), "bucket").join(sets.select("id", "odd"), "id").select("bucket", "id", "n", "root", "odd").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-    more = _verified(left.mapInArrow(_open_pairs, "u bigint, v bigint").distinct(), sets)
+    more = _verified(left.mapInArrow(tidy(_open_pairs), "u bigint, v bigint").distinct(), sets)
     if not more.isEmpty():
         root = _propagate(links.union(more)).withColumnRenamed("fp", "id")
     named = texts.select("id", "key").join(root, "id", "left").select("key", F.coalesce("root", "id").alias("root"))

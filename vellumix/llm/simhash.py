@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut_lineage, look_up
+from ._common import bounded_batches, cut_lineage, look_up, tidy
 
 RADIUS = 3
 HOT_SHARD = 4096
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 class Forest:
@@ -224,7 +224,7 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
     split = again.select(F.xxhash64("mask", "block", F.col("fp").bitwiseAND(F.col("bits"))).alias("key"), "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cold.unionByName(split).repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_search(radius), "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(tidy(_search(radius)), "u bigint, v bigint").distinct()
 
 
 def _propagate(links: DataFrame) -> DataFrame:

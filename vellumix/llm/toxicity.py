@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, held_out, labelled_sample
+from ._common import bounded_batches, held_once, held_out, labelled_sample, tidy
 
 SAMPLE_ROWS = 6000
 FEATURES = 512
@@ -87,7 +87,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell bigint, n bigint")
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "cell bigint, n bigint")
     table = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SYMBOLS**3)
     out[table.column(0).to_numpy()] = table.column(1).to_numpy()
@@ -248,7 +248,7 @@ def _features_by_label(rows: DataFrame, costs: list) -> DataFrame:
                 [pa.array(part, pa.string()), pa.array([sums[1][x] for x in part], pa.int64()), pa.array([sums[0][x] for x in part], pa.int64())], ["feature", "d1", "d0"]
             )
 
-    return rows.mapInArrow(run, "feature string, d1 bigint, d0 bigint").groupBy("feature").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+    return rows.mapInArrow(tidy(run), "feature string, d1 bigint, d0 bigint").groupBy("feature").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
 
 
 def choose_features(rows: DataFrame, costs: list, n1: int, n0: int) -> list[str]:
@@ -286,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, mod: int = 4, rem: int = 2, sampl
             x = [reader.vector((t.as_py() or b"").decode("utf-8", "replace")).astype(np.float32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary())], ["y", "x"])
 
-    got = rows.mapInArrow(run, "y int, x binary").toArrow()
+    got = rows.mapInArrow(tidy(run), "y int, x binary").toArrow()
     pairs = sorted(zip((int(v > 0) for v in got.column(0).to_pylist()), (b.as_py() for b in got.column(1)), strict=True))
     y = np.array([p[0] for p in pairs], float)
     x = np.array([np.frombuffer(p[1], np.float32) for p in pairs], float).reshape(len(y), len(chosen))
@@ -308,9 +308,6 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray, start: float) -> tuple[np.ndarra
     return theta[:-1], float(theta[-1])
 
 
-_readers: dict[str, tuple] = {}
-
-
 def toxicity_of(spark, model: tuple):
     """A Column function: text -> probability that the text is toxic."""
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -318,12 +315,11 @@ def toxicity_of(spark, model: tuple):
 
     @F.arrow_udf("double")
     def rate(text: pa.Array) -> pa.Array:
-        got = _readers.get(key)
-        if got is None:
-            _readers.clear()
+        def load() -> tuple:
             costs, chosen, weights, bias = shared.value
-            got = _readers[key] = (Reader(costs, {x: i for i, x in enumerate(chosen)}), weights.tolist(), bias)
-        reader, weights, bias = got
+            return Reader(costs, {x: i for i, x in enumerate(chosen)}), weights.tolist(), bias
+
+        reader, weights, bias = held_once(key, load)
         out = []
         for t in text.to_pylist():
             z = bias

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import bounded_batches, cut_lineage, held_out
+from ._common import bounded_batches, cut_lineage, held_out, tidy
 
 ROLES = ("system", "user", "assistant", "tool")
 STATES = 2 * len(ROLES)  # role * 2 + (0 first line, 1 later line)
@@ -88,7 +88,7 @@ def fit_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(table.ravel()[at])], ["kind", "at", "n"])
 
-    counted = rows.mapInArrow(run, "kind bigint, at bigint, n double").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(tidy(run), "kind bigint, at bigint, n double").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     marks, shapes, steps = prior_marks(), np.full((STATES, _SHAPES), 0.5), np.full((STATES, STATES), 0.5)
     for r in counted:
         (marks, shapes, steps)[r.kind].ravel()[r["at"]] += r.n
@@ -201,7 +201,7 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([first]), pa.array([total.tobytes()], pa.binary())], ["conv_key", "at", "m"])
 
     read = rows.select("conv_key", "text", "at", "conv_id", "turn")
-    ends = read.mapInArrow(reduce_ends, "conv_key string, at bigint, m binary").orderBy("at").collect()
+    ends = read.mapInArrow(tidy(reduce_ends), "conv_key string, at bigint, m binary").orderBy("at").collect()
     fixed = _fix_ends([(r.conv_key, r["at"] >> 33, np.frombuffer(r.m).reshape(STATES, STATES)) for r in ends])
     links = spark.sparkContext.broadcast(fixed)
     types = [to_arrow_type(rows.schema[n].dataType) for n in ("conv_id", "turn")]
@@ -231,7 +231,7 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
             yield from settle(held, *links.value.get((key, held[0][0][0][0] >> 33), (None, None)))
 
     kept = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("conv_id", "turn"))
-    decoded = read.mapInArrow(decode, f"{kept}, role_pred string, n_switches int, rendered string")
+    decoded = read.mapInArrow(tidy(decode), f"{kept}, role_pred string, n_switches int, rendered string")
     return decoded.select("conv_id", "turn", held_out("conv_id", 5, 0).alias("held_out"), "role_pred", "n_switches", "rendered")
 
 
