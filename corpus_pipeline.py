@@ -22,6 +22,8 @@ LEAST_LANGUAGE_SHARE = 0.5
 LEAST_QUALITY = 0.3
 #: Documents at a Jaccard similarity of 0.8 or more of their five-word shingles are near duplicates (neardup.LEAST).
 NEAR_SHINGLE = 5
+#: Workers that served the earlier stages each keep tables of this size.
+BPE_TABLE_BYTES = 40 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of the remaining texts, with the digests of ids and of their decoding; a null text has no ids."""
     import public_tokenizers
 
-    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, kept_bytes=BPE_TABLE_BYTES)
 
 
 STAGES = [
