@@ -160,14 +160,42 @@ def test_quality_learns_and_holds_out(spark):
 
 
 def test_disguised_words_are_restored():
-    corpus = np.frombuffer(("  " + "stupid idiot people " * 50 + prose(EN, 500) + " ").encode(), np.uint8)
+    corpus = np.frombuffer(("  " + "stupid idiot people a man " * 50 + prose(EN, 500) + " ").encode(), np.uint8)
     counts = np.bincount(toxicity.cells_of(corpus), minlength=28**3)
     counts[0] = 0
-    costs = toxicity.letter_costs(counts.reshape(28, 28, 28).astype(float))
-    for seen in ("id1ot", "!d!ot", "i.d.i.o.t", "idiooooot", "i d i o t"):
-        assert toxicity.decode(seen, costs) == "idiot"
-    assert toxicity.decode("st*pid", costs) == "stupid"
-    assert len(toxicity.decode("ab1" * 20_000, costs)) >= 20_000  # read whole, in bounded pieces
+    model = toxicity.Letters(toxicity.letter_costs(counts.reshape(28, 28, 28).astype(float)))
+    for seen in ("id1ot", "!d!ot", "i.d.i.o.t", "idiooooot", "i d i o t", "ídìöt", "idiiot", "idio*", "*diot"):
+        assert toxicity.decode(seen, model) == "idiot"
+    assert toxicity.decode("st*pid", model) == "stupid"
+    assert toxicity.decode("a s t u p i d", model).split()[-1] == "stupid"
+    assert len(toxicity.decode("ab1" * 20_000, model)) >= 20_000  # read whole, in bounded pieces
+
+
+def test_decoding_equals_all_readings(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = toxicity.Letters((rng.random((28, 28, 28)) * 6).tolist())
+
+    def cost(reading, channel):
+        total, a, b = channel, 0, 0
+        for x in reading:
+            if x == " ":
+                total, a, b = total + (model.costs[a][b][0] if a or b else 0.0), 0, 0
+            else:
+                total, a, b = total + model.costs[a][b][toxicity.symbol(x)], b, toxicity.symbol(x)
+        return total + model.costs[a][b][0]
+
+    chars = "aab1*-é 0l"
+    for n in range(60):
+        token = "".join(rng.choice(list(chars), 1 + n % 6))
+        token = token.replace("**", "*a")  # two wild characters alone are 729 readings
+        ways = itertools.product(*toxicity.lattice(token))
+        best = min(cost("".join(x for x, _, _ in way), sum(c for _, _, c in way)) for way in ways)
+        whole = toxicity.decode(token, model)
+        monkeypatch.setattr(toxicity, "SEGMENT", 2)
+        assert toxicity.decode(token, model) == whole
+        monkeypatch.setattr(toxicity, "SEGMENT", 512)
+        least = min(sum(c for _, _, c in way) for way in itertools.product(*toxicity.lattice(token)) if "".join(x for x, _, _ in way) == whole)
+        assert abs(cost(whole, least) - best) < 1e-6
 
 
 def test_letter_cells_follow_the_words():

@@ -1,11 +1,14 @@
 """Small tests of url reputation, threshold sketches, sharding and transcript parsing."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from vellumix.llm.fingerprint import fingerprint_edits, sketch
 from vellumix.llm.sharding import differencing, shard_by_bytes
@@ -44,6 +47,59 @@ def test_bad_host_is_blocked_and_shrinks(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")).count() == 0
 
 
+def plain_reputation(pages, bad):
+    """host -> (mean, bound, limit) in plain Python."""
+    hosts = {}
+    for i, host in pages:
+        n, b = hosts.setdefault(host, (0, 0))
+        for j, y in bad:
+            if i is not None and i == j and y is not None:
+                n, b = n + 1, b + y
+        hosts[host] = (n, b)
+    up = lambda rows, name: {k: tuple(map(sum, zip(*(v for h, v in rows.items() if name(h) == k)))) for k in map(name, rows)}
+    domain_of = lambda h: ".".join(h.split(".")[-2:])
+    suffix_of = lambda h: h.split(".")[-1]
+    domains = up(hosts, domain_of)
+    suffixes = up(domains, suffix_of)
+    n, b = map(sum, zip(*suffixes.values()))
+    share = (b + 1) / (n + 2)
+
+    def precision(rows):
+        rows = [(n, b) for n, b in rows.values() if n]
+        g, v = len(rows), share * (1 - share)
+        if g < 2:
+            return 200.0
+        total = sum(n for n, _ in rows)
+        room = v * (total - sum(n * n for n, _ in rows) / total - (g - 1))
+        rho = (sum(n * (b / n - share) ** 2 for n, b in rows) - v * (g - 1)) / room if room > 0 else 0
+        return min(max(1 / rho - 1, 1.0), 200.0) if rho > 0 else 200.0
+
+    ks, kd, kh = precision(suffixes), precision(domains), precision(hosts)
+    shrunk = lambda v, k, prior: (v[1] + k * prior) / (v[0] + k)
+    out = {}
+    for h, v in hosts.items():
+        top = shrunk(suffixes[suffix_of(h)], ks, share)
+        m = shrunk(v, kh, shrunk(domains[domain_of(h)], kd, top))
+        out[h] = (m, max(m - 1.645 * (m * (1 - m) / (v[0] + kh + 1)) ** 0.5, 0.0), share)
+    return out
+
+
+def test_reputation_equals_the_definition(spark):
+    rng = random.Random(8)
+    hosts = [f"{a}.{b}.{c}" for a in "pqr" for b in ("one", "two", "bad") for c in ("com", "org")] + ["alone.com"]
+    pages = [(i, rng.choice(hosts)) for i in range(700)] + [(None, hosts[0])] * 3 + [(5, hosts[1])]
+    bad = [(i, int(rng.random() < (0.9 if "bad" in h else 0.1))) for i, h in pages[:600] if i is not None] + [(3, None), (4, 1), (None, 1)]
+    df = spark.createDataFrame([(i, f"http://{h}/x", "clash") for i, h in pages], "page_id long, url string, host string")
+    got = judge_urls(df, spark.createDataFrame(bad, "page_id long, bad int")).collect()
+    assert len(got) == len(pages)
+    want = plain_reputation(pages, bad)
+    for r in got:
+        mean, bound, limit = want[r.host]
+        assert (r.mean, r.bound, r.limit) == pytest.approx((mean, bound, limit), abs=2e-6)
+        assert r.verdict == ("block" if bound > limit else "allow")
+    assert {r.host.split(".")[1] for r in got if r.verdict == "block"} == {"bad"}
+
+
 def test_fingerprint_edits_by_definition(spark):
     docs = [(5, WORDS), (1, "é" * 7), (3, None), (9, ""), (7, WORDS), (None, "a b")]
     got = {r.doc_id: r for r in fingerprint_edits(spark.createDataFrame(docs, DOCS)).collect()}
@@ -58,6 +114,43 @@ def test_fingerprint_edits_by_definition(spark):
     assert got[3].fingerprint == "" and got[3].near_edited == 1.0
 
 
+def plain_sketch(text):
+    """Every shingle hash below a quarter of the range, from the definition alone."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    signed = lambda x: x.to_bytes(8, "little")
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    out = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for x in hashes[i : i + 5]:
+            h = xxhash.xxh64_intdigest(signed(x), h)
+        out.add(h & (2**63 - 1))
+    return {h for h in out if h < 2**63 // 4}
+
+
+def test_fingerprints_equal_the_definition(spark):
+    rng = np.random.default_rng(4)
+    docs = [(int(i), " ".join(f"w{k}" for k in rng.integers(0, 30, int(rng.integers(0, 60))))) for i in range(40)]
+    docs += [(None, f"same id {k} " * 20) for k in range(90)] + [(7, "twice there " * 30), (100, "x")]
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in docs], DOCS + ", fingerprint string, salt int")
+    got = sorted(map(tuple, fingerprint_edits(df).collect()), key=str)
+    order = sorted({i for i, _ in docs}, key=lambda i: (i is not None, i or 0))
+    after = dict(zip(order, order[1:] + order[:1]))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    inside = lambda a, b: len(a & b) / len(a) if a else 0.0 if b else 1.0
+    text_of = lambda s: "".join(f"{h:016x}" for h in sorted(s))
+    want = []
+    for i, t in docs:
+        half = max(len(u) for j, u in docs if j == i) // 2
+        nxt = min((u for j, u in docs if j == after[i]), key=lambda u: (u[:half], sorted(plain_sketch(u))))
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        s, e, x = plain_sketch(t), plain_sketch(edited), plain_sketch(nxt)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text_of(s), text_of(e), like(s, e), like(s, x), inside(s, x)))
+    assert got == sorted(want, key=str)
+    assert any(r[3] == "" and r[1] > 0 for r in got)  # no hash below the threshold, so an empty sketch
+    assert fingerprint_edits(df.limit(0)).collect() == []
+
+
 def test_fingerprint_estimates_containment(spark):
     from pyspark.sql import functions as F
 
@@ -94,9 +187,10 @@ def test_shards_are_balanced_and_slots_gapless(spark, hot):
         slots[r.shard].append(r.slot)
         shards_of[r.text_crc32, r.size].add(r.shard)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    # only a group of more than a fair share is cut
-    assert {k for k, v in shards_of.items() if len(v) > 1} <= {(zlib.crc32(b"y" * 400), 408), (0, 8)}
-    assert set(sums) == set(range(24)) and max(sums.values()) - min(sums.values()) <= 500
+    # groups stay whole (null and empty texts, which look alike here, are two groups)
+    assert {k for k, v in shards_of.items() if len(v) > 1} <= {(0, 8)}
+    rest = sorted(sums.values())[:-1] if hot else sums.values()  # the hot group has a shard of its own
+    assert set(sums) == set(range(24)) and max(rest) - min(rest) <= 500
 
 
 def test_sharding_of_an_empty_table(spark):
@@ -136,3 +230,10 @@ def test_transcripts_do_not_depend_on_the_ranges(spark):
     known = [r for r in one if truth[r.conv_id, r.turn]]
     assert sum(r.role_pred == truth[r.conv_id, r.turn] for r in known) / len(known) > 0.95
     assert all("### " not in r.rendered and "<|end|>" in r.rendered for r in one)
+
+
+def test_conversations_without_an_id_stay_apart(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "User: hello?" if t % 2 == 0 else "Assistant: yes.\nmore") for c in ("", None, "x") for t in range(4)]
+    got = parse_transcripts(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    assert got.count() == 12 and {r.role_pred for r in got.where("turn % 2 = 0").collect()} == {"user"}
+    assert parse_transcripts(spark.createDataFrame([], "conv_id string, turn long, text string")).collect() == []

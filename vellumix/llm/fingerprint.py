@@ -3,8 +3,7 @@
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range. Sketches
 made with the same fraction can be merged by union, and the overlap of two sketches estimates
 containment and Jaccard similarity however different the documents' sizes are, because the
-same hashes are kept on both sides. A text whose shingles all miss the threshold keeps its
-smallest hash, so that every text with a word has a sketch and equal texts have equal ones.
+same hashes are kept on both sides and nothing else is: the sketch of a short text may be empty.
 
 Shingles are SHINGLE consecutive words, lower-cased, words being runs of anything but ASCII
 white space; a text of fewer words is one shingle, one without words has an empty sketch.
@@ -21,6 +20,8 @@ from ._common import cut_lineage
 SHINGLE = 5
 #: One of so many shingle hashes is kept.
 SCALE = 4
+#: An id of more than one in HOT rows is spread over SALTS tasks; there are fewer than HOT such ids.
+HOT, SALTS = 1000, 64
 
 
 def _let(value: Column, body) -> Column:
@@ -39,11 +40,8 @@ def _sketch_of_hashes(hashes: Column, shingle: int, scale: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - F.lit(shingle), F.lit(0)))
     mixed = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + F.lit(k)) for k in range(shingle)]).bitwiseAND(F.lit((1 << 63) - 1)))
 
-    def keep(every: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(every, lambda h: h < F.lit((1 << 63) // scale))))
-        return _let(low, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(every))))
-
-    return F.when(F.size(hashes) > 0, _let(mixed, keep)).otherwise(F.array().cast("array<bigint>"))
+    low = F.array_sort(F.array_distinct(F.filter(mixed, lambda h: h < F.lit((1 << 63) // scale))))
+    return F.when(F.size(hashes) > 0, low).otherwise(F.array().cast("array<bigint>"))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -52,7 +50,7 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 for two empty sketches, 0 for one."""
+    """Estimated share of a's shingles that b has; 1 for two empty sketches, 0 if only one is."""
     shared = F.size(F.array_intersect(a, b))
     return F.when(F.size(a) > 0, shared / F.size(a)).when(F.size(b) > 0, F.lit(0.0)).otherwise(F.lit(1.0))
 
@@ -92,21 +90,35 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = S
     The edited text has the last floor(n_chars/2) code points replaced by the first as many (or
     all) of the next document's, in ascending doc_id; the last is followed by the first. near_edited
     and near_next are the estimated Jaccard similarities to the edited and the next text.
-    A null text is empty. Of rows with a repeated id, the one with the least text (null as empty)
-    is the next document of their predecessor; each row has a result. A null id comes first.
+    A null text is empty. Of rows with a repeated id, the one whose needed first half is least, and
+    of those the one with the least sketch, is the next document of their predecessor; each row has a result. A null id comes first.
     Other columns are ignored, an empty table gives no rows.
 
-    Each text moves to its id once, and only the part that its predecessor needs moves again.
+    held_in_next is the estimated share of the text's shingles that the next text has too
+    (containment, for texts of very unequal size). Likeness and containment of two empty sketches is 1.
+
+    Each text moves to its id once, and only the part that its predecessor needs moves again. Rows
+    of an id that many share (a null among them) are spread by a hash of their texts.
     """
     # ids are compared inside a struct, where nulls are equal; a null-safe join would shuffle anew after the aggregation
     key = lambda c: F.struct(F.col(c).alias("id"))
-    # both sides of the last join read the same two columns, so that Spark deals the texts out once
     rows = docs.select(key("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = cut_lineage(rows.groupBy("key").agg(F.max(F.length("text")).alias("widest"), F.count("*").alias("k")))
+    total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first().n
+    hot = F.broadcast(sizes.where((F.col("k") > SALTS) & (F.col("k") * HOT > total)).select("key", F.lit(SALTS).alias("salts")))
+    # both sides of the last join read the same three columns, so that Spark deals the texts out once
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("text"), F.col("salts"))).otherwise(0).cast("int")
+    rows = rows.join(hot, "key", "left").select("key", salt.alias("salt"), "text")
+
+    def spread(one_per_key: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        return one_per_key.join(hot, "key", "left").withColumn("salt", F.explode(every)).drop("salts")
+
     before = successors(docs).select(key("next_id").alias("key"), key("doc_id").alias("from"))
-    sizes = rows.groupBy(F.col("key").alias("from")).agg(F.max(F.length("text")).alias("widest"))
-    heads = rows.join(before.join(sizes, "from"), "key")
+    before = before.join(sizes.select(F.col("key").alias("from"), "widest"), "from")
+    heads = rows.join(spread(before), ["key", "salt"])
     heads = heads.select("from", F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
-    both = rows.join(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n")), "key")
+    both = rows.join(spread(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n"))), ["key", "salt"])
     n = F.length("text").cast("long")
     both = both.select(F.col("key.id").alias("doc_id"), "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
     out = both.select(
@@ -120,5 +132,6 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = S
         F.inline(F.transform(made, lambda r: F.struct(
             to_text(r["s"]).alias("fingerprint"), to_text(r["e"]).alias("edited_fingerprint"),
             similarity(r["s"], r["e"]).alias("near_edited"), similarity(r["s"], r["x"]).alias("near_next"),
+            containment(r["s"], r["x"]).alias("held_in_next"),
         ))),
     )

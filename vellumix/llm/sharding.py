@@ -3,17 +3,17 @@
 A partial partition is a vector of shard sums. The two with the largest spread are combined in
 opposite order (the largest sum of one joins the smallest of the other) until one is left.
 
-Groups of equal texts stay in one shard, but for groups of more than a shard's fair share, which
-no balanced assignment can keep whole: those are cut into PIECES pieces for each share they fill.
-Groups of more than one HEAVY-th of all bytes or rows (so at most 2 x HEAVY of them) are
-partitioned first, on the driver. The others are dealt by hash into blocks of about BLOCK groups.
-Each block is partitioned in its own task, starting from its part of the sums so far, so that it
-fills up what these leave uneven; nothing but block-sized lists is ever in one place.
+Groups of equal texts are never cut: a group of more than a shard's fair share makes its shard the
+largest one, and the method fills up the others around it. Groups of more than one HEAVY-th of all
+bytes or rows (so at most 2 x HEAVY of them) are partitioned first, on the driver. The others are
+dealt by hash into blocks of about BLOCK groups. Each block is partitioned in its own task,
+starting from its part of the sums so far, so that it fills up what these leave uneven; nothing
+but block-sized lists is ever in one place.
 
 Blocks do not know each other, so no group may be large for its block: those of more than one
 PART-th of a block's share of a shard are taken out and go first, in larger blocks of their own,
 and so on until the rest is one block. That leaves shards x PART groups of each block at most
-(one in 52 groups), so a billion groups need four rounds.
+(one in 13 groups), so a billion groups need five rounds.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ from ._common import cut_lineage
 
 SHARDS = 24
 HEAVY = 1000
-BLOCK = 10_000
-PIECES = 8
+BLOCK = 2_500
 PART = 8
 #: The blocks are dealt to at most so many tasks; a number that Spark chose could leave all blocks to one.
 MOST_TASKS = 10_000
@@ -107,7 +106,7 @@ def _deal(light: DataFrame, shards: int, sums: list[int]) -> DataFrame:
         if not total:
             continue
         level = level.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        dealt = level.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(_block_partitioner(shards, list(sums), total), "key binary, shard int, bytes bigint")
+        dealt = level.repartitionByRange(min(blocks, MOST_TASKS), "block").groupBy("block").applyInArrow(_block_partitioner(shards, list(sums), total), "key binary, shard int, bytes bigint")
         dealt = cut_lineage(dealt)
         for r in dealt.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
             sums[r.shard] += r.bytes
@@ -121,8 +120,9 @@ def _deal(light: DataFrame, shards: int, sums: list[int]) -> DataFrame:
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shard and slot of every row of docs(doc_id, text), shard byte counts being near equal.
 
-    A row's size is its text's UTF-8 bytes (null: none) plus 8. Equal texts go together as the
-    module describes; null and empty texts are different groups. Slots are gapless from 0 in
+    A row's size is its text's UTF-8 bytes (null: none) plus 8. Equal texts are in one shard; null
+    and empty texts are different groups. Ties of size go by the text's digest, so shards do not
+    depend on how the rows are partitioned; slots follow the input's order. Slots are gapless from 0 in
     each shard. Null and repeated ids are rows like any other, other columns are ignored, and an
     empty table gives no rows.
     """
@@ -138,25 +138,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
     all_ = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     is_heavy = (F.col("bytes") * HEAVY > all_.bytes) | (F.col("n") * HEAVY > all_.n)
-    share = max(all_.bytes / shards, 1)
-    pieces = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") * PIECES / share)).otherwise(1).cast("int")
-    heavy = groups.where(is_heavy).select("key", pieces.alias("pieces"))  # at most 2 * HEAVY rows
-
-    tagged = rows.join(F.broadcast(heavy), "key", "left").withColumn("piece", F.pmod(F.xxhash64("at"), F.col("pieces")).cast("int"))
-    cut = tagged.where(F.col("pieces").isNotNull()).groupBy("key", "piece").agg(F.sum("size").alias("bytes")).collect()
-    cut.sort(key=lambda r: (-r.bytes, bytes(r.key), r.piece))
-    at = differencing([r.bytes for r in cut], shards)
+    heavy = sorted(groups.where(is_heavy).select("key", "bytes").collect(), key=lambda r: (-r.bytes, bytes(r.key)))  # at most 2 * HEAVY rows
+    at = differencing([r.bytes for r in heavy], shards)
     sums = [0] * shards
-    for r, s in zip(cut, at):
+    for r, s in zip(heavy, at):
         sums[s] += r.bytes
     spark = docs.sparkSession
-    placed = spark.createDataFrame([(bytes(r.key), r.piece, s) for r, s in zip(cut, at)], "key binary, piece int, heavy_shard int")
+    placed = F.broadcast(spark.createDataFrame([(bytes(r.key), s) for r, s in zip(heavy, at)], "key binary, shard int"))
 
     dealt = _deal(groups.where(~is_heavy).select("key", "bytes"), shards, sums)
 
     keep = ["doc_id", "size", "text_crc32", "at"]
-    put = tagged.where(F.col("pieces").isNotNull()).join(F.broadcast(placed), ["key", "piece"]).select(*keep, F.col("heavy_shard").alias("shard"))
-    put = put.unionByName(tagged.where(F.col("pieces").isNull()).join(dealt, "key").select(*keep, "shard"))
+    put = rows.join(placed, "key").select(*keep, "shard")
+    put = put.unionByName(rows.join(placed, "key", "left_anti").join(dealt, "key").select(*keep, "shard"))
     return _slots(cut_lineage(put))
 
 

@@ -1,10 +1,11 @@
 """Toxicity scoring behind a noisy-channel deobfuscator.
 
-Tokens that look disguised (symbols or digits between letters, letters repeated three times,
-single letters set apart by spaces or separators) become a character lattice: every observed
-character may stand for a letter at a channel cost, or for nothing. A Viterbi search under a
-character trigram model finds the likeliest reading, which joins the text's tokens. The score
-is a logistic model over the tokens and token beginnings that mark toxic text.
+Every token that can be read in more than one way (with symbols, digits, doubled or accented
+letters in it), and every run of single characters set apart by spaces, becomes a character
+lattice: every observed character may stand for a letter at a channel cost, or for nothing, and a
+space between characters may end a word. A Viterbi search under a character trigram model finds the
+likeliest reading, which joins the text's tokens. The score is a logistic model over the tokens and
+token beginnings that mark toxic text.
 
 The character model counts every word of the corpus into 28^3 cells, so what is collected has
 a fixed size. Features and weights are fitted on about SAMPLE_ROWS labelled documents at most
@@ -32,8 +33,8 @@ FEATURES = 512
 LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 KEPT = 200_000
-#: Characters of a token after which its reading so far is fixed.
-SETTLED = 512
+#: Back-pointers are kept for so many characters of a token, and found again from a checkpoint before that.
+SEGMENT = 512
 #: Bytes counted at once.
 PIECE = 1 << 19
 
@@ -42,19 +43,17 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
-SEPARATORS = " .-_~'`^,:;/\\=\"​‌‍­﻿"
+SEPARATORS = ".-_~'`^,:;/\\=\"​‌‍­﻿"
 WILD = "*#%&?"
-LETTER, LOOKS_LIKE, DROPPED, UNKNOWN, REPEATED, DOUBLED, PADDING = 0.0, 1.5, 0.7, 4.0, 0.7, 4.0, 9.0
+LETTER, LOOKS_LIKE, DROPPED, UNKNOWN, REPEATED, DOUBLED, PADDING, WORD_END = 0.0, 1.5, 0.7, 4.0, 0.7, 4.0, 9.0, 3.0
 
 SYMBOLS = 28  # word edge, a-z, any other letter
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S(?!\S)){2,}")
+_DOUBLED = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1\1+")
 _QUOTES = ".,;:?\"'()[]{}"
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`-_=+/\\"
-#: A disguised token has something other than a letter with a letter on each side.
-_INSIDE = re.compile(r"[^\W\d_][\d\W_]+[^\W\d_]")
-
 
 def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else SYMBOLS - 1
@@ -103,92 +102,154 @@ def letter_costs(counts: np.ndarray) -> list:
     return (-np.log(p3)).tolist()
 
 
-def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
-    """For each character the letters it may stand for, with costs; '' means it is dropped."""
-    before = ""
+def _options(c: str, again: bool, run: bool) -> list[tuple[str, int, float]]:
+    return [(x, symbol(x) if x not in ("", " ") else 0, cost) for x, cost in _letters(c, again, run)]
+
+
+def _letters(c: str, again: bool, run: bool) -> list[tuple[str, float]]:
+    """What a character may stand for; again: it repeats the one before, run: it is one of three or more."""
+    if c.isalpha():
+        base = unicodedata.normalize("NFKD", c)[:1]
+        options = [(c, LETTER)] + ([(base, LOOKS_LIKE / 2)] if base != c and base.isalpha() else [])
+        return options + ([("", REPEATED if run else DOUBLED)] if again else [])
+    if c in LEET:
+        return [(x, LOOKS_LIKE) for x in LEET[c]] + [("", REPEATED if run and again else PADDING)]
+    if c in WILD:
+        return [(x, UNKNOWN) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", LOOKS_LIKE)]
+    if c.isspace():
+        return [("", DROPPED), (" ", WORD_END)]
+    return [("", DROPPED if c in SEPARATORS else LOOKS_LIKE)]
+
+
+_made: dict[tuple[str, bool, int], list[tuple[str, int, float]]] = {}
+
+
+def lattice(token: str) -> list[list[tuple[str, int, float]]]:
+    """For each character the letters it may stand for, with symbols and costs; '' means it is dropped, ' ' that a word ends."""
     token = token.lower()
-    runs = {m.start() + i for m in re.finditer(r"(.)\1\1+", token) for i in range(len(m.group(0)))}
-    for at, c in enumerate(token):
-        if c.isalpha():
-            base = unicodedata.normalize("NFKD", c)[:1]
-            options = [(c, LETTER)] + ([(base, LOOKS_LIKE / 2)] if base != c and base.isalpha() else [])
-            if c == before:
-                options.append(("", REPEATED if at in runs else DOUBLED))
-        elif c in LEET:
-            options = [(x, LOOKS_LIKE) for x in LEET[c]]
-            options.append(("", REPEATED if at in runs and c == before else PADDING))
-        elif c in WILD:
-            options = [(x, UNKNOWN) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", LOOKS_LIKE)]
-        else:
-            options = [("", DROPPED if c in SEPARATORS else LOOKS_LIKE)]
-        yield options
+    runs = bytearray(len(token))
+    for m in _RUN.finditer(token):
+        runs[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
+    if len(_made) > 10_000:
+        _made.clear()
+    out, before = [], ""
+    for c, run in zip(token, runs):
+        key = (c, c == before, run)
+        if (o := _made.get(key)) is None:
+            o = _made[key] = _options(c, c == before, bool(run))
+        out.append(o)
         before = c
+    return out
 
 
-def decode(token: str, costs: list) -> str:
-    """Likeliest reading of a token: Viterbi over (last two letters) states of its lattice.
+class Letters:
+    """The character model: costs of a symbol after two others, and the least cost of a symbol anywhere."""
 
-    States that have read the same two letters merge, so a step keeps at most a few hundred
-    states, and the work is linear in the token's length. Back-pointers are settled every
-    SETTLED characters: the best state so far goes on alone, so a token of any length is read
-    whole in bounded memory.
-    """
-    states: dict[tuple[str, str], float] = {("", ""): 0.0}
-    steps: list[dict[tuple[str, str], tuple[tuple[str, str], str]]] = []
-    out: list[str] = []
+    def __init__(self, costs: list):
+        self.costs = costs
+        self.least = np.array(costs).min(axis=(0, 1)).tolist()
+
+
+def _bounds(options: list, model: Letters) -> list[float]:
+    """What a state after each character may cost at most to be part of the best reading."""
+    costs, least = model.costs, model.least
+    rest = [least[0]] * (len(options) + 1)
+    low = {id(o): min(cost + (least[k] if x and x != " " else 0.0) for x, k, cost in o) for o in options}
+    for i in range(len(options) - 1, -1, -1):
+        rest[i] = rest[i + 1] + low[id(options[i])]
+
+    def cost_of(dropping: bool) -> float:
+        a = b = 0
+        total = 0.0
+        for o in options:
+            x, k, cost = next((y for y in o if not y[0]), o[0]) if dropping and o[0][2] != LETTER else o[0]
+            total += cost
+            if x == " ":
+                total, a, b = total + (costs[a][b][0] if a or b else 0.0), 0, 0
+            elif x:
+                total, a, b = total + costs[a][b][k], b, k
+        return total + costs[a][b][0]
 
-    def row(state: tuple[str, str]) -> list[float]:
-        a, b = state
-        return costs[symbol(a) if a else 0][symbol(b) if b else 0]
+    known = min(cost_of(False), cost_of(True)) + 1e-6
+    return [known - r for r in rest[1:]]
 
-    def settle(end: tuple[str, str]) -> None:
-        back, state = [], end
+
+def decode(token: str, model: Letters) -> str:
+    """Likeliest reading of a token: Viterbi over (last two symbols) states of its lattice.
+
+    Readings that end in the same two symbols merge, as the rest costs them the same. A state is
+    left out only if its cost and the least that the rest can cost pass the cost of a reading
+    already known (every character for its first letter, or only the letters), so the result is
+    the best reading. Back-pointers are held for SEGMENT characters at a time: the costs at
+    the begin of every segment are kept, and the pointers found again from there, last segment first.
+    """
+    options, costs, n = lattice(token), model.costs, len(token)
+    most = [math.inf] * n
+    if any(len(o) > 4 for o in options):  # a wild character: the bound pays
+        most = _bounds(options, model)
+
+    def forward(states: dict, begin: int, steps: list) -> dict:
+        for i in range(begin, min(begin + SEGMENT, n)):
+            best: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            limit = most[i]
+            for state, cost in states.items():
+                a, b = state
+                after = costs[a][b]
+                for letter, k, channel in options[i]:
+                    if not letter:
+                        new, total = state, cost + channel
+                    elif letter == " ":
+                        new, total = (0, 0), cost + channel + (after[0] if a or b else 0.0)
+                    else:
+                        new, total = (b, k), cost + channel + after[k]
+                    if total <= limit and total < best.get(new, math.inf):
+                        best[new] = total
+                        came[new] = (state, letter)
+            states = best
+            steps.append(came)
+        return states
+
+    marks, states, steps = [], {(0, 0): 0.0}, []
+    begins = range(0, n, SEGMENT)
+    for begin in begins:
+        marks.append(states)
+        steps = []
+        states = forward(states, begin, steps)
+    state = min(states, key=lambda s: (states[s] + costs[s[0]][s[1]][0], s))
+    back: list[str] = []
+    for k in range(len(marks) - 1, -1, -1):
+        if k < len(marks) - 1:
+            steps = []
+            forward(marks[k], begins[k], steps)
         for came in reversed(steps):
             state, letter = came[state]
             back.append(letter)
-        out.extend(reversed(back))
-        steps.clear()
-
-    for options in lattice(token):
-        best: dict[tuple[str, str], float] = {}
-        came: dict[tuple[str, str], tuple[tuple[str, str], str]] = {}
-        for state, cost in states.items():
-            after = row(state)
-            for letter, channel in options:
-                new = (state[1], letter) if letter else state
-                total = cost + channel + (after[symbol(letter)] if letter else 0.0)
-                if total < best.get(new, math.inf):
-                    best[new] = total
-                    came[new] = (state, letter)
-        states = best
-        steps.append(came)
-        if len(steps) == SETTLED:
-            end = min(states, key=lambda s: (states[s], s))
-            settle(end)
-            states = {end: 0.0}
-    settle(min(states, key=lambda s: (states[s] + row(s)[0], s)))
-    return "".join(out)
+    return "".join(reversed(back))
 
 
 class Reader:
     """Tokens of texts with their restored readings, and the features of each."""
 
     def __init__(self, costs: list, chosen: dict[str, int] | None = None):
-        self.costs, self.chosen = costs, chosen
+        self.letters, self.chosen = Letters(costs), chosen
         self.kept: dict[str, list] = {}
         #: A word with another beginning than any chosen feature has none of them.
         self.heads = None if chosen is None else {x[:3] for x in chosen}
 
     def restored(self, token: str) -> list[str]:
-        """The token without its edges, and the reading of what looks disguised in it."""
-        core = token.strip(_QUOTES).rstrip("!").strip(_QUOTES)
-        if core.isalpha() and not _TRIPLE.search(core):
-            return [core.lower()]
+        """The token without its edges, and the words of its likeliest reading.
+
+        Letters of ASCII of which none is doubled can only be read as they stand, and what has
+        neither a letter nor a character that is written for one holds no word.
+        """
+        core = token.strip(_QUOTES).rstrip("!").strip(_QUOTES).lower()
+        if core.isascii() and core.isalpha() and not _DOUBLED.search(core):
+            return [core]
         plain = token.strip(_EDGES).lower()
         out = [plain] if plain else []
-        if _INSIDE.search(token) or _TRIPLE.search(plain) or any(c in LEET for c in core) and any(c.isalpha() for c in core):
-            if (read := decode(core, self.costs)) and read != plain:
-                out.append(read)
+        if any(c.isalpha() or c in LEET for c in core):
+            out += [x for x in decode(core, self.letters).split() if x != plain]
         return out
 
     def features(self, token: str) -> list:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from ._common import bounded_batches, cut_lineage, held_out, tidy
 
@@ -67,23 +68,26 @@ def symbols(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def fit_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log tables (marks [state, symbol], shapes [state, symbol], transitions [state, state])."""
+    """Log tables (marks [state, symbol], shapes [state, symbol], transitions [state, state]).
+
+    rows(role, text, before, lines): before is the role of the conversation's row before, null if there
+    is none or none known, and lines how many lines that row has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, shapes, steps = np.zeros((STATES, _MARKS * 2)), np.zeros((STATES, _SHAPES)), np.zeros((STATES, STATES))
-        conv = last = None
+        last = None
         for batch in batches:
-            for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
+            for role, text, before, lines in zip(*(batch.column(k).to_pylist() for k in ("role", "text", "before", "lines"))):
                 if role not in ROLES:
-                    conv = None
                     continue
                 for k, (m, s) in enumerate(symbols(lines_of(text))):
                     state = ROLES.index(role) * 2 + (k > 0)
                     marks[state, m] += 1
                     shapes[state, s] += 1
-                    if last is not None and (conv == c or k):
-                        steps[last, state] += 1
-                    conv, last = c, state
+                    if k or before is not None:
+                        steps[last if k else ROLES.index(before) * 2 + (lines > 1), state] += 1
+                    last = state
         for kind, table in enumerate((marks, shapes, steps)):
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(table.ravel()[at])], ["kind", "at", "n"])
@@ -142,6 +146,8 @@ class Chain:
 
 #: A conversation begins as if an assistant's line came before it.
 START_ROW = 2 * ROLES.index("assistant") + 1
+#: Rows of a range, about.
+RANGE_ROWS = 50_000
 #: Rows are searched in stretches of about so many lines, so that a task's memory is bounded.
 STRETCH = 20_000
 
@@ -163,26 +169,47 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, li
         yield key, number, rows, texts
 
 
+def _with_row_before(rows: DataFrame) -> DataFrame:
+    """rows(conv_id, conv_key, role, text, at) with the role and the lines of the conversation's row before.
+
+    Inside a range by a window over the range's order; a range's first row gets those of the last
+    row before it, of which there are as many as ranges.
+    """
+    known = F.when(F.col("role").isin(*ROLES), F.col("role"))
+    n = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).alias("n")
+    slim = rows.select("conv_id", "conv_key", known.alias("role"), "text", "at", F.shiftright("at", 33).alias("part"), n)
+    state = F.struct("conv_key", "role", "n")
+    last = slim.groupBy("part").agg(F.max_by(state, "at").alias("end")).orderBy("part").collect()  # one row for each range
+    ends = rows.sparkSession.createDataFrame([(b.part, a.end) for a, b in zip(last, last[1:])], "part bigint, end struct<conv_key string, role string, n int>")
+    inside = F.lag(state).over(Window.partitionBy("part").orderBy("at"))
+    out = slim.withColumn("was", inside).join(F.broadcast(ends), "part", "left").withColumn("was", F.coalesce("was", "end"))
+    same = F.col("was.conv_key") == F.col("conv_key")
+    return out.select("conv_id", "role", "text", F.when(same, F.col("was.role")).alias("before"), F.col("was.n").alias("lines"))
+
+
 def parse_transcripts(lines: DataFrame) -> DataFrame:
     """Roles of all rows of lines(conv_id, turn, text[, role]) and their canonical rendering.
 
     Rows of a conversation are read in the order of turn, then of text (a null is lowest); rows
-    with a null conv_id are one conversation, repeated rows stay. role, where known, is only
+    with a null conv_id are one conversation, which is not that of an empty one; repeated rows stay. role, where known, is only
     learnt from, and only outside the held-out fold (crc32 of conv_id mod 5 is 0); other columns are ignored.
 
     Returns conv_id, turn, held_out, role_pred (role of the row's first line), n_switches (changes
     of speaker inside the row) and rendered: each speaker's lines without their marker as
     <|role|>, line feed, content, line feed, <|end|>, line feed. A row that only goes on in its
-    predecessor's turn is rendered as a turn of its own.
+    predecessor's turn is rendered as a turn of its own. A null or empty text is one empty line, texts
+    of any length are read whole, an empty table gives no rows.
     """
     spark = lines.sparkSession
     bounded_batches(spark)
     role = F.col("role") if "role" in lines.columns else F.lit(None).cast("string")
-    rows = lines.select("conv_id", "turn", "text", role.alias("role"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_key"))
+    rows = lines.select("conv_id", "turn", "text", role.alias("role"), F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv_key"))
     mark = F.xxhash64("text")  # spreads the rows of one (conversation, turn)
-    rows = rows.repartitionByRange("conv_key", "turn", mark).sortWithinPartitions("conv_key", "turn", mark, "text")
+    # ranges of about RANGE_ROWS rows: a task holds the rows of one conversation in its range
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    rows = rows.repartitionByRange(parts, "conv_key", "turn", mark).sortWithinPartitions("conv_key", "turn", mark, "text")
     rows = cut_lineage(rows.withColumn("at", F.monotonically_increasing_id()))
-    learnt = rows.where(~held_out("conv_id", 5, 0)).select("conv_id", "role", "text")
+    learnt = _with_row_before(rows).where(~held_out("conv_id", 5, 0))
     model = fit_counts(learnt)
     shared = spark.sparkContext.broadcast(model)
 

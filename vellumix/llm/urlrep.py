@@ -4,7 +4,8 @@ Outcomes of labelled pages (bad: 1, else 0) are counted by host, registered doma
 The share of bad pages is shrunk from level to level: a suffix towards the overall share, a domain
 towards its suffix, a host towards its domain. The weight of each prior is the beta-binomial
 precision that the method of moments finds among that level's members. A host is blocked if the
-lower bound of its posterior share (mean less Z standard deviations) is above LEAST_BAD.
+lower bound of its posterior share (mean less Z standard deviations) is above the share of bad
+pages overall by the factor WORSE: it is worse than the rest beyond doubt, whatever that share is.
 Explicit (host, path) rules come before the reputation.
 """
 
@@ -13,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage
+from ._common import cut_lineage, look_up
 
 #: Standard deviations below the posterior mean.
-Z = 1.0
-#: A host is blocked if the bound of its share of bad pages is above this.
-LEAST_BAD = 0.5
+Z = 1.645
+#: A host is blocked if the bound of its share of bad pages is above so many times the overall share.
+WORSE = 1.0
 #: Precision of a prior stays in this range, whatever the moments say.
 PRECISION = (1.0, 200.0)
 HEAVY = 1000
@@ -74,14 +75,17 @@ def _precision(level: DataFrame, share: float) -> float:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, domain, suffix, rows, n, bad, mean, bound) of every host of pages(page_id, host).
+    """(host, domain, suffix, rows, n, bad, mean, bound, limit) of every host of pages(page_id, host).
+
+    limit is what the bound must pass for the host to be blocked.
 
     outcomes(page_id, bad) are the labelled pages; an id labelled twice counts twice, null ids
     and null outcomes count for nothing.
     """
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("k"), F.sum("bad").alias("b"))
-    seen = pages.join(known, "page_id", "left")
-    hosts = seen.groupBy("host").agg(F.count("*").alias("rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bad"))
+    # rows are counted by (id, host) before the join, so that neither a hot host nor an id that repeats gets one task
+    seen = pages.groupBy("page_id", "host").agg(F.count("*").alias("rows")).join(known, "page_id", "left")
+    hosts = seen.groupBy("host").agg(F.sum("rows").alias("rows"), F.coalesce(F.sum(F.col("rows") * F.col("k")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rows") * F.col("b")), F.lit(0)).alias("bad"))
     suffix, domain = suffix_and_domain(F.col("host"))
     hosts = cut_lineage(hosts.select("host", "rows", "n", "bad", domain.alias("domain"), suffix.alias("suffix")))
     domains = cut_lineage(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
@@ -92,7 +96,9 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     shrunk = lambda k, prior: (F.col("bad") + k * prior) / (F.col("n") + k)
     top = suffixes.select("suffix", shrunk(ks, F.lit(share)).alias("m_suffix"))
     middle = domains.join(top, "suffix").select("domain", "suffix", shrunk(kd, F.col("m_suffix")).alias("m_domain"))
-    low = hosts.join(middle, ["domain", "suffix"]).withColumn("mean", shrunk(kh, F.col("m_domain")))
+    middle = middle.select(F.struct("domain", "suffix").alias("place"), "m_domain")
+    low = look_up(hosts.withColumn("place", F.struct("domain", "suffix")), cut_lineage(middle), "place").drop("place")
+    low = low.withColumn("mean", shrunk(kh, F.col("m_domain"))).withColumn("limit", F.lit(float(WORSE * share)))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + kh + 1))
     return low.withColumn("bound", F.greatest(F.col("mean") - Z * sd, F.lit(0.0))).drop("m_domain")
 
@@ -100,24 +106,25 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Verdict for every row of pages(page_id, url), by rule or else by its host's reputation.
 
-    Returns page_id, host, path, rule, verdict, and the host's labelled pages, posterior mean and
-    bound, rounded to six digits. A null url, or one without ://, has an empty host, whose pages
+    Returns page_id, host, path, rule, verdict, and the host's labelled pages, posterior mean,
+    bound and limit, rounded to six digits. A null url, or one without ://, has an empty host, whose pages
     share one reputation. Repeated rows and null ids are judged like any other; other columns are
-    ignored.
+    ignored; an empty table gives no rows, and without a labelled page every host has the overall
+    share 1/2 as its mean and is allowed.
 
     Hosts of more than one HEAVY-th of all rows (so fewer than HEAVY hosts) are looked up by
     broadcast, the others by a join on the host, so that no join task gets a hot host.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rep = cut_lineage(host_reputation(rows.select("page_id", "host"), outcomes).select("host", "rows", "n", "mean", "bound"))
+    rep = cut_lineage(host_reputation(rows.select("page_id", "host"), outcomes).select("host", "rows", "n", "mean", "bound", "limit"))
     total = rep.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
     heavy = rep.where(F.col("rows") * HEAVY > total).drop("rows")
     light = rep.where(F.col("rows") * HEAVY <= total).drop("rows")
     both = rows.join(F.broadcast(heavy), "host").unionByName(rows.join(F.broadcast(heavy.select("host")), "host", "left_anti").join(light, "host"))
     ruled = both.withColumn("r", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
-    own = F.when(F.round("bound", 6) > LEAST_BAD, "block").otherwise("allow")
+    own = F.when(F.round("bound", 6) > F.round("limit", 6), "block").otherwise("allow")
     return ruled.select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"),
-        F.col("n").cast("long").alias("n_labelled"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"),
+        F.col("n").cast("long").alias("n_labelled"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"), F.round("limit", 6).alias("limit"),
     )
