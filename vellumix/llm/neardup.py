@@ -195,6 +195,14 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     return same.where("u <> v").unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _with_more(links: DataFrame, root: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with more of them, and the classes of all."""
+    if more.isEmpty():
+        return links, root
+    links = links.union(more)
+    return links, _propagate(links).withColumnRenamed("fp", "id")
+
+
 def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, key, root) of every row of docs(doc_id, text): the digest of its words and its class.
 
@@ -217,15 +225,20 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     first = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
     star = members.join(first, "bucket").where((F.col("id") != F.col("c.id")) & (F.col("n") * down >= F.col("c.n") * up) & (F.col("c.n") * down >= F.col("n") * up))
     pairs = star.select(F.col("c.id").alias("u"), F.col("id").alias("v")).union(close.select(F.least("u", "v"), F.greatest("u", "v")))
-    links = _verified(pairs.distinct(), sets)
+    pairs = cut_lineage(pairs.distinct())
+    # each text with the least of its partners first; of the other pairs, only those still in different classes
+    tried = cut_lineage(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    links = _verified(tried, sets)
     root = _propagate(links).withColumnRenamed("fp", "id")
+    for side in ("u", "v"):
+        own = root.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = look_up(pairs, own, side, outer=True).withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    links, root = _with_more(links, root, _verified(pairs.where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), sets))
 
     placed = members.join(root, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     left = placed.join(open_.select("bucket"), "bucket").join(sets.select("id", "odd"), "id").select("bucket", "id", "n", "root", "odd").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-    more = _verified(left.mapInArrow(tidy(_open_pairs), "u bigint, v bigint").distinct(), sets)
-    if not more.isEmpty():
-        root = _propagate(links.union(more)).withColumnRenamed("fp", "id")
+    links, root = _with_more(links, root, _verified(left.mapInArrow(tidy(_open_pairs), "u bigint, v bigint").distinct(), sets))
     named = texts.select("id", "key").join(root, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     return look_up(rows.select("doc_id", "key"), named, "key")
 
