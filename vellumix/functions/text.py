@@ -12,8 +12,7 @@ from pyspark.sql.types import StringType
 
 #: Media types by file extension.
 MEDIA_TYPES = {
-    "html": "text/html", "css": "text/css", "md": "text/markdown", "json": "application/json", "png": "image/png",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "svg": "image/svg+xml", "woff2": "font/woff2",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "svg": "image/svg+xml", "woff2": "font/woff2",
 }
 
 

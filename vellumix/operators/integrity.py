@@ -8,28 +8,17 @@ from pyspark.sql.window import Window
 
 from vellumix.functions.text import is_package_path
 
-#: Files that every package has.
-REQUIRED = ["manifest.json", "content/index.html", "ai/content.md", "ai/outline.json", "ai/hashes.json"]
-
-
 def digests(files: DataFrame) -> DataFrame:
     """(doc_id, path, digest) of files(doc_id, path, bytes)."""
     return files.select("doc_id", "path", F.sha2("bytes", 256).alias("digest"))
 
 
 def compare_digests(computed: DataFrame, declared: DataFrame) -> DataFrame:
-    """(doc_id, path, outcome) where the two sides of (doc_id, path, digest) differ: missing-digest, mismatch or missing-file."""
+    """(doc_id, path, have, want, outcome) where the two sides of (doc_id, path, digest) differ: missing-digest, mismatch or missing-file."""
     a = computed.select("doc_id", "path", F.col("digest").alias("have"))
     b = declared.select("doc_id", "path", F.col("digest").alias("want"))
     outcome = F.when(F.col("want").isNull(), "missing-digest").when(F.col("have").isNull(), "missing-file").when(F.col("have") != F.col("want"), "mismatch")
-    return a.join(b, ["doc_id", "path"], "full_outer").select("doc_id", "path", outcome.alias("outcome")).where("outcome is not null")
-
-
-def missing_files(files: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """(doc_id, path) of required files that a document lacks."""
-    have = files.groupBy("doc_id").agg(F.collect_set(F.when(F.col("path").isin(required or REQUIRED), F.col("path"))).alias("have"))
-    want = F.array(*[F.lit(p) for p in (required or REQUIRED)])
-    return have.select("doc_id", F.explode(F.array_except(want, "have")).alias("path"))
+    return a.join(b, ["doc_id", "path"], "full_outer").select("doc_id", "path", "have", "want", outcome.alias("outcome")).where("outcome is not null")
 
 
 def bad_paths(files: DataFrame) -> DataFrame:

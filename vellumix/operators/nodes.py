@@ -1,41 +1,11 @@
-"""Relational operators over the node table: ids, links, outline, profile checks.
-
-All of them shuffle on doc_id or (doc_id, key) only; a document is the largest unit that one task holds.
-"""
+"""Relational operators over the node table: outline, landmark, texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Elements of the closed profile.
-PROFILE = (
-    "html head body meta title link article section header footer nav h1 h2 h3 h4 h5 h6 p blockquote ul ol li dl dt dd figure "
-    "figcaption img pre code table caption thead tbody tfoot tr th td hr br a em strong cite q sub sup span time abbr"
-).split()
-#: Elements that always need an id.
-CITABLE = {"section": "section", "p": "paragraph", "table": "table", "figure": "figure", "blockquote": "blockquote"} | {f"h{k}": "heading" for k in range(1, 7)}
 
-#: Patterns of attribute values.
-ID, FRAGMENT = r"\A[a-z]+-[a-z0-9][a-z0-9-]*\z", r"\A#[a-z]+-[a-z0-9][a-z0-9-]*\z"
-EXTERNAL = r"\A(https?://[^\s<>]+|mailto:[^\s<>]+)\z"
-IMAGE = r"\Acontent/assets(/[A-Za-z0-9][A-Za-z0-9._-]*)+\z"
-DATASET = r"\Adata(/[A-Za-z0-9][A-Za-z0-9._-]*)+\.json\z"
-DATE_TIME = r"\A\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2}))?\z"
-LANGUAGE = r"\A[a-zA-Z]{2,3}(-[a-zA-Z0-9]{2,8})*\z"
-#: Attributes of every element, and of one.
-EVERYWHERE = ["id", "class", "lang", "dir"]
-OWN = {
-    "a": ["href"], "img": ["src", "alt", "width", "height"], "time": ["datetime"], "abbr": ["title"], "blockquote": ["cite"],
-    "th": ["scope", "colspan", "rowspan"], "td": ["colspan", "rowspan"], "table": ["data-wdf-dataset"],
-}
-#: Section, tag (null: any), attribute and the pattern that its values follow.
-VALUES = [
-    ("6.4.2", None, "id", ID), ("6.3", None, "lang", LANGUAGE), ("6.3.2", "a", "href", f"{FRAGMENT}|{EXTERNAL}"), ("6.3.3", "img", "src", IMAGE),
-    ("6.3.3", "img", "width", r"\A[1-9][0-9]*\z"), ("6.3.3", "img", "height", r"\A[1-9][0-9]*\z"), ("6.3.4", "th", "scope", r"\A(col|row)\z"),
-    ("6.3", "time", "datetime", DATE_TIME), ("6.3", "blockquote", "cite", EXTERNAL), ("6.5", "table", "data-wdf-dataset", DATASET),
-]
+from vellumix.sources.html import CITABLE
 
 
 def attr(name: str) -> Column:
@@ -43,131 +13,25 @@ def attr(name: str) -> Column:
     return F.get(F.filter(F.col("attrs"), lambda a: a["name"] == name), F.lit(0))["value"]
 
 
-def violation(df: DataFrame, spec: str, message: Column, severity: str = "error") -> DataFrame:
-    return df.select("doc_id", F.col("pre").alias("seq"), F.lit(spec).alias("spec"), F.col("xpath").alias("path"), message.alias("message"), F.lit(severity).alias("severity"))
-
-
-def duplicate_ids(nodes: DataFrame) -> DataFrame:
-    """A violation for every element whose id an earlier element of its document has."""
-    order = Window.partitionBy("doc_id", "id").orderBy("pre")
-    ids = nodes.where("kind = 'element'").withColumn("id", attr("id")).where("id is not null")
-    ids = ids.withColumn("k", F.row_number().over(order)).withColumn("first", F.first("xpath").over(order)).where("k > 1")
-    return violation(ids, "6.4.2", F.format_string('duplicate id "%s" (first at %s)', "id", "first"))
-
-
-def dangling_links(nodes: DataFrame) -> DataFrame:
-    """A violation for every fragment link whose target id its document lacks."""
-    elements = nodes.where("kind = 'element'")
-    links = elements.where("tag = 'a'").withColumn("href", attr("href")).where(F.col("href").rlike(FRAGMENT)).withColumn("id", F.expr("substring(href, 2)"))
-    ids = elements.select("doc_id", attr("id").alias("id")).where("id is not null")
-    return violation(links.join(ids, ["doc_id", "id"], "left_anti"), "6.3.2", F.format_string('link to missing id "%s"', "id"))
-
-
-def outside_profile(nodes: DataFrame) -> DataFrame:
-    """A violation for every element that the profile does not have."""
-    return violation(nodes.where((F.col("kind") == "element") & ~F.col("tag").isin(PROFILE)), "6.2", F.format_string("element <%s> is not in the profile", "tag"))
-
-
-def missing_ids(nodes: DataFrame) -> DataFrame:
-    """A violation for every citable element without an id."""
-    return violation(nodes.where(F.col("tag").isin(list(CITABLE)) & attr("id").isNull()), "6.4.1", F.format_string("<%s> has no id", "tag"))
-
-
-def heading_count(nodes: DataFrame) -> DataFrame:
-    """A warning for every document that has not exactly one h1."""
-    n = nodes.groupBy("doc_id").agg(F.count_if(F.col("tag") == "h1").alias("n")).where("n <> 1")
-    n = n.withColumn("pre", F.lit(0)).withColumn("xpath", F.lit("html"))
-    return violation(n, "6.1.5", F.format_string("expected one h1, found %d", "n"), "warning")
-
-
-def spans(nodes: DataFrame) -> DataFrame:
-    """A violation for every colspan or rowspan that is no whole number from 2 to 1000."""
-    cells = nodes.where("tag in ('td', 'th')").select("doc_id", "pre", "xpath", F.inline("attrs")).where("name in ('colspan', 'rowspan')")
-    return violation(cells.where(~F.col("value").rlike(r"\A(?:[2-9]|[1-9][0-9]{1,2}|1000)\z")), "6.3.4", F.format_string('%s "%s" is not from 2 to 1000', "name", "value"))
+def outline(nodes: DataFrame, with_up: bool = False) -> DataFrame:
+    """(doc_id, ord, id, type, level, title, parent) of the citable elements of the article with an id.
 
-
-def attributes(nodes: DataFrame) -> DataFrame:
-    """A violation for every attribute of a body element that is not allowed, holds control characters or breaks its pattern."""
-    body = nodes.where("kind = 'element' and xpath like 'html/body%' and tag <> 'body'").select("doc_id", "pre", "xpath", "tag", F.inline("attrs"))
-    own = F.create_map(*[x for t, names in OWN.items() for x in (F.lit(t), F.array(*map(F.lit, names)))])
-    allowed = F.col("name").isin(EVERYWHERE) | F.coalesce(F.array_contains(F.try_element_at(own, F.col("tag")), F.col("name")), F.lit(False))
-    control = F.col("value").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-    found = F.when(~allowed, F.lit("6.3")).when(control, F.lit("6.3.5"))
-    for spec, tag, name, pattern in VALUES:
-        here = F.lit(True) if tag is None else F.col("tag") == tag
-        found = found.when(here & (F.col("name") == name) & ~F.col("value").rlike(pattern), F.lit(spec))
-    rows = body.withColumn("rule", found).where("rule is not null")
-    message = F.format_string('<%s> attribute %s="%s"', "tag", "name", "value")
-    return rows.select("doc_id", F.col("pre").alias("seq"), F.col("rule").alias("spec"), F.col("xpath").alias("path"), message.alias("message"), F.lit("error").alias("severity"))
-
-
-CHECKS = (outside_profile, attributes, missing_ids, duplicate_ids, dangling_links, spans, heading_count)
-
-
-def validate(nodes: DataFrame) -> DataFrame:
-    """All violations; rules run side by side over one node table, rule by rule in document order."""
-    out = None
-    for check in CHECKS:
-        rows = check(nodes)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def validity(docs: DataFrame, violations: DataFrame) -> DataFrame:
-    """(doc_id, errors, warnings, valid) of every document of docs(doc_id)."""
-    n = violations.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", zero("errors"), zero("warnings")).withColumn("valid", F.col("errors") == 0)
-
-
-def outline(nodes: DataFrame, with_ranges: bool = False) -> DataFrame:
-    """(doc_id, ord, id, type, level, title, parent) of the citable elements with an id, in document order.
-
-    parent is the nearest citable ancestor: the ancestor with the largest pre among the rows whose
-    interval holds the element. An equi-join on doc_id with the interval as its condition, over
-    citable rows only. List items (of the outermost list) are added the same way.
+    ord counts in document order from 0, parent is the nearest citable ancestor's id. Both and the
+    title come from the parse pass, so this is a filter. with_up adds the ids of all citable ancestors, outermost first.
     """
-    elements = nodes.where("kind = 'element'")
-    lists = elements.where("tag in ('ul', 'ol')").select("doc_id", F.col("pre").alias("l"), F.col("post_end").alias("l_end"))
-    items = elements.where("tag = 'li'").withColumn("id", attr("id")).where("id is not null")
-    inside = (F.col("pre") > F.col("l")) & (F.col("pre") <= F.col("l_end"))
-    depth = items.alias("i").join(lists.alias("x"), (F.col("i.doc_id") == F.col("x.doc_id")) & inside).groupBy("i.doc_id", "pre").agg(F.count("*").alias("n")).where("n = 1")
-    items = items.join(depth.select("doc_id", "pre"), ["doc_id", "pre"]).withColumn("type", F.lit("list-item"))
     kinds = F.create_map(*[F.lit(x) for kv in CITABLE.items() for x in kv])
-    others = elements.where(F.col("tag").isin(list(CITABLE))).withColumn("id", attr("id")).where("id is not null").withColumn("type", kinds[F.col("tag")])
-    cols = ["doc_id", "pre", "post_end", "tag", "id", "type"]
-    article = elements.where("tag = 'article'").groupBy("doc_id").agg(F.min_by(F.struct("pre", "post_end"), "pre").alias("a"))
-    rows = others.select(cols).unionByName(items.select(cols)).join(article, "doc_id").where("pre > a.pre and pre <= a.post_end").drop("a")
-    up = rows.select(F.col("doc_id").alias("d"), F.col("pre").alias("u"), F.col("post_end").alias("u_end"), F.col("id").alias("up_id"))
-    parents = rows.join(up, (F.col("doc_id") == F.col("d")) & (F.col("pre") > F.col("u")) & (F.col("pre") <= F.col("u_end"))).groupBy("doc_id", "pre").agg(F.max_by("up_id", "u").alias("parent"))
-    titles = _titles(nodes, rows)
-    level = F.when(F.col("type") == "heading", F.substring("tag", 2, 1).cast("int"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).alias("ord")
-    ranges = ["pre", "post_end"] if with_ranges else []
-    return rows.join(parents, ["doc_id", "pre"], "left").join(titles, ["doc_id", "pre"], "left").select(*ranges, "doc_id", order, "id", "type", level.alias("level"), "title", "parent")
-
-
-def subtree_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, pre, title): white-space-normalized text below each of roots(doc_id, pre, post_end)."""
-    texts = nodes.where("kind = 'text'").select(F.col("doc_id").alias("d"), F.col("pre").alias("t"), "text")
-    got = roots.join(texts, (F.col("doc_id") == F.col("d")) & (F.col("t") > F.col("pre")) & (F.col("t") <= F.col("post_end")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), "")
-    return got.groupBy("doc_id", "pre").agg(F.nullif(F.trim(F.regexp_replace(whole, r"[\t\n\f\r ]+", " ")), F.lit("")).alias("title"))
-
-
-def _titles(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Titles: a heading's own text; a section's first heading outside nested sections; a table's or figure's caption."""
-    el = nodes.where("kind = 'element'").select(F.col("doc_id").alias("d"), F.col("pre").alias("h"), F.col("post_end").alias("h_end"), F.col("tag").alias("t"), "parent")
-    below = (F.col("doc_id") == F.col("d")) & (F.col("h") > F.col("pre")) & (F.col("h") <= F.col("post_end"))
-    captions = rows.where("type in ('table', 'figure')").join(el.where("t in ('caption', 'figcaption')"), below & (F.col("parent") == F.col("pre")))
-    captions = captions.groupBy("doc_id", "pre").agg(F.min_by(F.struct("h", "h_end"), "h").alias("s"))
-    sections = nodes.where("tag = 'section'").select(F.col("doc_id").alias("sd"), F.col("pre").alias("sp"), F.col("post_end").alias("se"))
-    heads = el.where(F.col("t").rlike("^h[1-6]$"))
-    # a heading belongs to its nearest section: the one with the largest pre around it
-    owner = heads.join(sections, (F.col("d") == F.col("sd")) & (F.col("h") > F.col("sp")) & (F.col("h") <= F.col("se"))).groupBy("d", "h", "h_end").agg(F.max("sp").alias("pre"))
-    first = owner.groupBy(F.col("d").alias("doc_id"), "pre").agg(F.min_by(F.struct("h", "h_end"), "h").alias("s"))
-    first = rows.where("type = 'section'").select("doc_id", "pre").join(first, ["doc_id", "pre"])
-    own = rows.where("type = 'heading'").select("doc_id", "pre", F.struct(F.col("pre").alias("h"), F.col("post_end").alias("h_end")).alias("s"))
-    source = own.unionByName(captions).unionByName(first).select("doc_id", F.col("pre").alias("for"), F.col("s.h").alias("pre"), F.col("s.h_end").alias("post_end"))
-    text = subtree_text(nodes, source.select("doc_id", "pre", "post_end").distinct())
-    return source.select("doc_id", "for", "pre").join(text, ["doc_id", "pre"]).select("doc_id", F.col("for").alias("pre"), "title")
+    kind = F.coalesce(F.try_element_at(kinds, F.col("tag")), F.lit("list-item"))
+    level = F.when(kind == "heading", F.substring("tag", 2, 1).cast("int"))
+    up = [F.col("cited_up").alias("up")] if with_up else []
+    parent = F.try_element_at("cited_up", F.lit(-1))
+    return nodes.where("ord is not null").select("doc_id", "ord", attr("id").alias("id"), kind.alias("type"), level.alias("level"), "title", parent.alias("parent"), *up)
+
+
+def landmark(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, post_end, label) of the main content: main, else role="main", else article; the first of its kind below body."""
+    role = F.coalesce(attr("role") == "main", F.lit(False))
+    rank = F.when(F.col("tag") == "main", 0).when(role, 1).when(F.col("tag") == "article", 2)
+    rows = nodes.where(F.col("xpath").startswith("html/body/") & (F.col("kind") == "element")).withColumn("rank", rank).where("rank is not null")
+    best = rows.groupBy("doc_id").agg(F.min(F.struct("rank", "pre", "post_end")).alias("b"))
+    label = F.element_at(F.array(F.lit("main"), F.lit('role="main"'), F.lit("article")), F.col("b.rank") + 1)
+    return best.select("doc_id", "b.pre", "b.post_end", label.alias("label"))

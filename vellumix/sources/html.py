@@ -1,19 +1,16 @@
-"""HTML documents as rows: a flat, interval-encoded node table.
+"""HTML documents as rows: a flat, interval-encoded node table from one parse per document.
 
 One document is parsed by one sequential pass (parser state depends on everything before it), the
-corpus in parallel. A node's subtree is the rows with pre <= x <= post_end, so ancestors,
-descendants and document order are plain comparisons.
-
-The tree builder follows the HTML rules that matter for well-formed pages: void elements, raw
-text, implied html, head and body, and implied end tags of p, li, dt, dd, option, table parts. It
-does not do the adoption agency or foster parenting of misnested markup.
+corpus in parallel. A node's subtree is the rows with pre <= x <= post_end. What a rule or an
+outline needs of a node's surroundings (parent, list depth, child tags, the first element with
+the same id, the citable ancestors) is written beside it in that pass, so that all
+per-document operators are filters and expressions over one scan, without a shuffle or a second parse.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,170 +18,158 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Elements without content.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that belong to the head while no body has begun.
-HEAD = frozenset("base link meta noscript script style template title".split())
-#: Start tags that end an open paragraph.
-CLOSES_P = frozenset(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
-)
-#: For a start tag, the open elements that it ends, up to the nearest of the boundary.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-}
-
-
-@dataclass(slots=True)
-class Node:
-    tag: str | None  # None for text
-    attrs: list[tuple[str, str]] = field(default_factory=list)
-    children: list["Node"] = field(default_factory=list)
-    text: str = ""
-
-    def get(self, name: str) -> str | None:
-        return next((v for n, v in self.attrs if n == name), None)
-
-    def elements(self) -> list["Node"]:
-        return [c for c in self.children if c.tag is not None]
-
-    def child(self, *tags: str) -> "Node | None":
-        return next((c for c in self.children if c.tag in tags), None)
-
-    def content(self) -> str:
-        return self.text if self.tag is None else "".join(c.content() for c in self.children)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.html = Node("html")
-        self.head, self.body = Node("head"), Node("body")
-        self.html.children = [self.head, self.body]
-        self.open: list[Node] = []
-        self.in_body = False
-
-    def _merge(self, node: Node, attrs: list) -> None:
-        have = {n for n, _ in node.attrs}
-        node.attrs += [(n, v or "") for n, v in attrs if n not in have]
-
-    def _place(self) -> Node:
-        if self.open:
-            return self.open[-1]
-        return self.body if self.in_body else self.head
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html":
-            return self._merge(self.html, attrs)
-        if tag == "head":
-            return self._merge(self.head, attrs)
-        if tag == "body":
-            self.in_body, self.open = True, []
-            return self._merge(self.body, attrs)
-        if not self.in_body and tag not in HEAD and not self.open:
-            self.in_body = True
-        if tag in CLOSES_P:
-            self._end("p", {"button", "td", "th", "caption"})
-        if tag in ENDS:
-            ended, boundary = ENDS[tag]
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k].tag in boundary:
-                    break
-                if self.open[k].tag in ended:
-                    del self.open[k:]
-        if tag == "tr" and self.open and self.open[-1].tag == "table":
-            self._push("tbody", [])
-        seen: dict[str, str] = {}
-        for n, v in attrs:
-            seen.setdefault(n, v or "")
-        self._push(tag, list(seen.items()))
-
-    def _push(self, tag: str, attrs: list) -> None:
-        node = Node(tag, attrs)
-        self._place().children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def _end(self, tag: str, boundary: set[str] = frozenset()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in boundary:
-                return
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "head":
-            self.open = []
-        elif tag not in ("html", "body"):
-            self._end(tag)
-
-    def handle_data(self, data: str) -> None:
-        if not self.open and not self.in_body:
-            if not data.strip("\t\n\f\r "):
-                return
-            self.in_body = True
-        at = self._place().children
-        data = data.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
-        if at and at[-1].tag is None:
-            at[-1].text += data
-        elif data:
-            at.append(Node(None, text=data))
-
-
-def parse(html: str | None) -> Node:
-    """The html element of a document; a null or empty text gives empty head and body."""
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.html
+from vellumix.functions.tables import span, table_grid
+from vellumix.sources.tree import HEADINGS, Document, Node, parse, parse_document
 
+__all__ = ["Node", "html_nodes", "parse", "parse_document"]
+
+#: Citable elements and their kinds.
+CITABLE = {"section": "section", "p": "paragraph", "table": "table", "figure": "figure", "blockquote": "blockquote"} | {h: "heading" for h in sorted(HEADINGS)}
+#: Elements whose whole text is kept beside them.
+SPOKEN = HEADINGS | {"title", "caption", "figcaption", "th", "td"}
+LISTS = ("ul", "ol")
+_WHITE = re.compile(r"[\t\n\f\r ]+")
+#: Nodes gathered from several documents before a batch is written.
+BATCH_NODES = 50_000
 
 NODES = (
-    "doc_id {id}, pre int, post_end int, parent int, depth int, elem_idx int, kind string, tag string, "
-    "attrs array<struct<name:string,value:string>>, text string, xpath string"
+    "doc_id {id}, pre int, post_end int, parent int, depth int, elem_idx int, tag_idx int, kind string, tag string, attrs array<struct<name:string,value:string>>, text string, xpath string, "
+    "parent_tag string, parent_end int, child_tags array<string>, bare_text boolean, alone boolean, list_depth int, in_paragraph boolean, content string, "
+    "id_first string, target boolean, ord int, title string, cited_up array<string>, "
+    "grid array<string>, head_rows int, head_bad int, spanned boolean, doctype array<string>"
 )
+_COLUMNS = [part.split()[0] for part in re.split(r", (?![^<]*>)", NODES)]
+
+
+def normal(text: str) -> str:
+    return _WHITE.sub(" ", text).strip(" ")
+
+
+def table_groups(table: Node) -> list[list[Node]]:
+    return [[r for r in s.elements() if r.tag == "tr"] for s in table.elements() if s.tag in ("thead", "tbody", "tfoot")]
+
 
+def _table_facts(table: Node) -> dict:
+    groups = table_groups(table)
+    cells = [c for g in groups for r in g for c in r.elements()]
+    head = next((s for s in table.elements() if s.tag == "thead"), None)
+    rows = head.elements() if head else []
+    return {
+        "grid": table_grid([[[(span(c.get("colspan")), span(c.get("rowspan"))) for c in r.elements()] for r in g] for g in groups])[2],
+        "head_rows": len(rows), "head_bad": sum(any(c.tag != "th" for c in r.elements()) for r in rows),
+        "spanned": any(n in ("colspan", "rowspan") for c in cells for n, _ in c.attrs),
+    }
 
-def _rows(root: Node) -> list[dict]:
+
+def _title(node: Node) -> str | None:
+    kind = CITABLE.get(node.tag)
+    if kind == "heading":
+        source = node
+    elif kind == "section":
+        source, todo = None, list(reversed(node.elements()))
+        while todo and source is None:
+            n = todo.pop()
+            if n.tag in HEADINGS:
+                source = n
+            elif n.tag != "section":
+                todo += reversed(n.elements())
+    else:
+        source = node.child({"table": "caption", "figure": "figcaption"}.get(kind, ""))
+    return normal(source.content()) or None if source is not None else None
+
+
+def rows_of(doc: Document) -> list[dict]:
+    """Node rows of a document in document order; columns that do not apply are left out."""
     out: list[dict] = []
-    todo: list[tuple[Node, int | None, int, int, str]] = [(root, None, 0, 1, "")]
+    first: dict[str, str] = {}  # id -> path of the first element below body that has it
+    body = doc.html.child("body")
+    article = body.child("article") if body else None
+    ord_ = 0
+    # (node, row of parent, depth, index among elements, index among its tag, path, list depth, in paragraph, list depth in the article or None, ids of citable ancestors)
+    todo: list[tuple] = [(doc.html, None, 0, 1, 1, "", 0, False, None, ())]
     while todo:
-        node, parent, depth, nth, path = todo.pop()
+        node, up, depth, nth, same, path, lists, in_p, own_lists, cited = todo.pop()
+        pre, ident = len(out), node.get("id") if node.tag else None
         if node.tag is not None:
-            ident = node.get("id")
-            path = f"{path}/{node.tag}" + (f"#{ident}" if ident else f"[{nth}]" if parent is not None else "")
-        out.append({
-            "pre": len(out), "post_end": len(out), "parent": parent, "depth": depth, "elem_idx": nth, "kind": "text" if node.tag is None else "element", "tag": node.tag,
-            "attrs": [{"name": n, "value": v} for n, v in node.attrs], "text": node.text if node.tag is None else None, "xpath": path.lstrip("/"),
-        })
-        k, at, ahead = 0, len(out) - 1, []
+            name = node.tag + ("" if depth < 2 else f"#{ident}" if ident else f"[{nth}]")
+            path = f"{path}/{name}" if path else name
+        elements = node.elements()
+        row = {
+            "pre": pre, "post_end": pre, "parent": up, "depth": depth, "elem_idx": nth, "tag_idx": same, "kind": "text" if node.tag is None else "element", "tag": node.tag,
+            "attrs": [{"name": n, "value": v} for n, v in node.attrs], "text": node.text if node.tag is None else None, "xpath": path,
+            "parent_tag": None if up is None else out[up]["tag"], "list_depth": lists, "in_paragraph": in_p, "child_tags": [c.tag for c in elements],
+            "alone": up is not None and len(out[up]["child_tags"]) == 1 and not out[up]["bare_text"],
+            "bare_text": any(c.tag is None and normal(c.text) for c in node.children),
+        }
+        if depth == 0:
+            row["doctype"] = list(doc.doctype) if doc.doctype else None
+        if node.tag in SPOKEN:
+            row["content"] = normal(node.content())
+        if node.tag == "table":
+            row |= _table_facts(node)
+        if ident is not None and depth >= 2 and path.startswith("html/body"):
+            if ident in first:
+                row["id_first"] = first[ident]
+            first.setdefault(ident, path)
+        if own_lists is not None and ident is not None and (node.tag in CITABLE or node.tag == "li" and own_lists == 1):
+            row |= {"ord": ord_, "title": _title(node), "cited_up": list(cited)}
+            ord_, cited = ord_ + 1, (*cited, ident)
+        out.append(row)
+        in_article = node is article
+        if node.tag in LISTS:
+            lists, in_p = lists + 1, False
+            own_lists = None if own_lists is None else own_lists + 1
+        elif node.tag in ("p", "th", "td"):
+            in_p = True
+        seen: dict[str, int] = {}
+        ahead, k = [], 0
         for c in node.children:
-            k += c.tag is not None
-            ahead.append((c, at, depth + 1, k, path))
+            if c.tag is not None:
+                k += 1
+                seen[c.tag] = seen.get(c.tag, 0) + 1
+            ahead.append((c, pre, depth + 1, k, seen.get(c.tag, 0), path, lists, in_p, 0 if in_article else own_lists, cited))
         todo += reversed(ahead)
     for row in reversed(out):
         if row["parent"] is not None:
             up = out[row["parent"]]
             up["post_end"] = max(up["post_end"], row["post_end"])
+    for row in out:
+        if row["parent"] is not None:
+            row["parent_end"] = out[row["parent"]]["post_end"]
+        if row["tag"] == "a":
+            href = next((a["value"] for a in row["attrs"] if a["name"] == "href"), None)
+            if href is not None and href.startswith("#"):
+                row["target"] = href[1:] in first
     return out
 
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Node table of every document; the id column keeps its type and is named doc_id."""
+    """Node table of every document; the id column keeps its type and is named doc_id.
+
+    Null and empty documents have the rows of an empty html, head and body. Rows that share an id
+    are documents of their own. Batches are written when BATCH_NODES nodes are gathered.
+    """
     schema = NODES.format(id=pages.schema[id_col].dataType.simpleString())
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in _COLUMNS}
+
+        def written() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) for f in arrow], schema=arrow)
+            for values in held.values():
+                values.clear()
+            return batch
+
         for batch in batches:
             for i, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield pa.RecordBatch.from_pylist([{"doc_id": i, **r} for r in _rows(parse(html.as_py()))], schema=arrow)
+                rows = rows_of(parse_document(html.as_py()))
+                held["doc_id"] += [i] * len(rows)
+                for c in _COLUMNS[1:]:
+                    held[c] += [r.get(c) for r in rows]
+                if len(held["pre"]) >= BATCH_NODES:
+                    yield written()
+        if held["pre"]:
+            yield written()
 
     return pages.select(F.col(id_col), F.col(html_col)).mapInArrow(run, schema)
