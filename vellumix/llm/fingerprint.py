@@ -105,20 +105,21 @@ def fingerprint_edits(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = S
     rows = docs.select(key("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = cut_lineage(rows.groupBy("key").agg(F.max(F.length("text")).alias("widest"), F.count("*").alias("k")))
     total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first().n
-    hot = F.broadcast(sizes.where((F.col("k") > SALTS) & (F.col("k") * HOT > total)).select("key", F.lit(SALTS).alias("salts")))
-    # both sides of the last join read the same three columns, so that Spark deals the texts out once
-    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("text"), F.col("salts"))).otherwise(0).cast("int")
-    rows = rows.join(hot, "key", "left").select("key", salt.alias("salt"), "text")
-
-    def spread(one_per_key: DataFrame) -> DataFrame:
-        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-        return one_per_key.join(hot, "key", "left").withColumn("salt", F.explode(every)).drop("salts")
+    hot = sizes.where((F.col("k") > SALTS) & (F.col("k") * HOT > total)).select("key", F.lit(SALTS).alias("salts"))
+    # both sides of the last join read the same columns of the same plan, so that Spark deals the texts out once
+    on, spread = ["key"], lambda one_per_key: one_per_key
+    if not hot.isEmpty():
+        few, on = F.broadcast(cut_lineage(hot)), ["key", "salt"]
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("text"), F.col("salts"))).otherwise(0).cast("int")
+        rows = rows.join(few, "key", "left").select("key", salt.alias("salt"), "text")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        spread = lambda one_per_key: one_per_key.join(few, "key", "left").withColumn("salt", every).drop("salts")
 
     before = successors(docs).select(key("next_id").alias("key"), key("doc_id").alias("from"))
     before = before.join(sizes.select(F.col("key").alias("from"), "widest"), "from")
-    heads = rows.join(spread(before), ["key", "salt"])
+    heads = rows.join(spread(before), on)
     heads = heads.select("from", F.struct(F.expr("substring(text, 1, widest div 2)").alias("head"), sketch(F.col("text"), shingle, scale).alias("next_sketch")).alias("n"))
-    both = rows.join(spread(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n"))), ["key", "salt"])
+    both = rows.join(spread(heads.groupBy(F.col("from").alias("key")).agg(F.min("n").alias("n"))), on)
     n = F.length("text").cast("long")
     both = both.select(F.col("key.id").alias("doc_id"), "text", "n", n.alias("n_chars"), F.expr("substring(text, 1, length(text) - length(text) div 2) || substring(n.head, 1, length(text) div 2)").alias("edited"))
     out = both.select(
