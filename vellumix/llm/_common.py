@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of text that a Python worker gets at once, if the session does not say otherwise.
 ARROW_ROWS = 1024
@@ -96,17 +97,28 @@ def free_name(taken: list[str], stem: str) -> str:
     return next(n for n in (stem + "_" * k for k in range(1, len(names) + 2)) if n.lower() not in names)
 
 
-def look_up(rows: DataFrame, entries: DataFrame, key: str, *, outer: bool = False) -> DataFrame:
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """Keys that more than one in HEAVY rows share (fewer than HEAVY keys), as a column key; None if there are none."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= HEAVY)
+    most = counts.orderBy(F.desc("__n")).limit(HEAVY).collect()
+    if not most:
+        return None
+    total = rows.count()
+    found = [(r[key],) for r in most if r["__n"] * HEAVY > total]
+    kind = StructType([StructField(key, rows.schema[key].dataType)])
+    return rows.sparkSession.createDataFrame(found, kind) if found else None
+
+
+def look_up(rows: DataFrame, entries: DataFrame, key: str, *, outer: bool = False, heavy: DataFrame | None | bool = True) -> DataFrame:
     """rows joined with entries, which has one row for each key, so that no task gets a hot key.
 
     Keys that many rows share are looked up by broadcast (there are fewer than HEAVY of them, and
-    entries has a bounded width), all others by a join on the key. A null key finds nothing.
+    entries has a bounded width), all others by a join on the key. A null key finds nothing. heavy
+    are the heavy keys, if known.
     """
-    counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= HEAVY))
-    total = rows.count() if not counts.isEmpty() else 0
-    heavy = counts.where(F.col("__n") * HEAVY > total).where(F.col(key).isNotNull()).select(key)
     kind = "left" if outer else "inner"
-    if not total or heavy.isEmpty():
+    heavy = heavy_keys(rows, key) if heavy is True else heavy
+    if heavy is None:
         return rows.join(entries, key, kind)
     few = F.broadcast(heavy)
     hot = rows.join(few, key, "left_semi").join(F.broadcast(entries.join(few, key, "left_semi")), key, kind)

@@ -32,7 +32,7 @@ SHINGLE = 5
 #: Least Jaccard similarity of linked texts, as a fraction.
 LEAST = (4, 5)
 BANDS, BAND_ROWS = 48, 6
-PARITY_BITS = 2048
+PARITY_BITS = 512
 #: Shingles whose minima are taken in one numpy step.
 STEP = 512
 #: Up to so many texts are looked up by broadcast.

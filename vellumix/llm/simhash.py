@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut_lineage, look_up, tidy
+from ._common import bounded_batches, cut_lineage, heavy_keys, look_up, tidy
 
 RADIUS = 3
 HOT_SHARD = 4096
@@ -230,9 +230,10 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
 def _propagate(links: DataFrame) -> DataFrame:
     """(fp, root): the smallest node reachable over the links, for every node in them."""
     edges = cut_lineage(links.select("u", "v").union(links.select("v", "u")).distinct())
+    heavy = heavy_keys(edges, "v")
     label = edges.select(F.col("u").alias("fp"), F.col("u").alias("root")).distinct()
     while True:
-        near = look_up(edges, label.select(F.col("fp").alias("v"), "root"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("root").alias("near"))
+        near = look_up(edges, label.select(F.col("fp").alias("v"), "root"), "v", heavy=heavy).groupBy(F.col("u").alias("fp")).agg(F.min("root").alias("near"))
         met = label.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         far = met.select(F.col("fp").alias("root"), F.col("root").alias("up"))
         label = cut_lineage(look_up(met, far, "root", outer=True).select("fp", "was", F.least("root", "up").alias("root")))
