@@ -36,7 +36,7 @@ NODES = (
     "doc_id {id}, pre int, post_end int, parent int, depth int, elem_idx int, tag_idx int, kind string, tag string, attrs array<struct<name:string,value:string>>, text string, xpath string, "
     "parent_tag string, parent_end int, child_tags array<string>, bare_text boolean, alone boolean, list_depth int, in_paragraph boolean, content string, "
     "id_first string, target boolean, ord int, title string, cited_up array<string>, "
-    "grid array<string>, head_rows int, head_bad int, spanned boolean, doctype array<string>"
+    "grid array<string>, head_rows int, head_bad int, spanned boolean, doctype array<string>, h1_count int"
 )
 _COLUMNS = [part.split()[0] for part in re.split(r", (?![^<]*>)", NODES)]
 
@@ -133,6 +133,9 @@ def rows_of(doc: Document) -> list[dict]:
         if row["parent"] is not None:
             up = out[row["parent"]]
             up["post_end"] = max(up["post_end"], row["post_end"])
+    at = next((r for r in out if r["depth"] == 1 and r["tag"] == "body"), None)
+    if at is not None:
+        at["h1_count"] = sum(r["tag"] == "h1" for r in out[at["pre"] : at["post_end"] + 1])
     for row in out:
         if row["parent"] is not None:
             row["parent_end"] = out[row["parent"]]["post_end"]
