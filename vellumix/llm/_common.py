@@ -88,7 +88,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the written copy."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    free_shuffles(df.sparkSession)
+    return written
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver look for plans that nothing uses any more, so that their shuffle files go.
+
+    Spark removes a shuffle when the driver's heap no longer holds its plan, which it learns from
+    a collection only; a driver that allocates little would keep the files of every round.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(taken: list[str], stem: str) -> str:

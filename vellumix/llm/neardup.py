@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, cut_lineage, free_name, look_up, tidy
-from .simhash import RADIUS, _links, _propagate, simhash_of
+from .simhash import RADIUS, _links, _propagate, _tops, simhash_of
 
 SHINGLE = 5
 #: Least Jaccard similarity of linked texts, as a fraction.
@@ -141,26 +141,29 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of a bucket in different classes that may be alike, but for those with the first text."""
+    """Pairs (u, v) of a bucket in different classes (root_u, root_v) that may be alike, but for those with the first text."""
     up, down = LEAST
     for bucket, node, n, root, odd in _by_bucket(batches):
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        us, vs, rows = [], [], 0
+        found, rows = [], 0
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
             for i in range(a + 1, b - 1):
                 m = n[i + 1 : b]
                 fits = i + 1 + np.flatnonzero((root[i + 1 : b] != root[i]) & (m * down >= n[i] * up) & (n[i] * down >= m * up))
                 # similarity up/down leaves (down - up) / (down + up) of both sizes together to differ
                 apart = np.bitwise_count(odd[fits] ^ odd[i]).sum(axis=1, dtype=np.int64)
-                v = node[fits[apart * (down + up) <= (n[fits] + n[i]) * (down - up)]]
-                us.append(np.full(len(v), node[i]))
-                vs.append(v)
+                v = fits[apart * (down + up) <= (n[fits] + n[i]) * (down - up)]
+                found.append((np.full(len(v), node[i]), node[v], np.full(len(v), root[i]), root[v]))
                 rows += len(v)
                 if rows > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                    us, vs, rows = [], [], 0
+                    yield _pair_batch(found)
+                    found, rows = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield _pair_batch(found)
+
+
+def _pair_batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["u", "v", "root_u", "root_v"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -179,11 +182,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets have the least similarity."""
+    """The rows of pairs(u, v, ...) whose sets have the least similarity."""
     up, down = LEAST
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
     sizes = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return cut_lineage(sizes.where(F.col("shared") * down >= (F.size("x") + F.size("y") - F.col("shared")) * up).select("u", "v"))
+    return cut_lineage(sizes.where(F.col("shared") * down >= (F.size("x") + F.size("y") - F.col("shared")) * up).select(pairs.columns))
 
 
 def _simhash_pairs(texts: DataFrame) -> DataFrame:
@@ -195,12 +198,13 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     return same.where("u <> v").unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def _with_more(links: DataFrame, root: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links with more of them, and the classes of all."""
+def _merged(root: DataFrame, more: DataFrame) -> DataFrame:
+    """root(id, root), a row for each text but the classes' least ones, after links(root_u, root_v) between classes."""
     if more.isEmpty():
-        return links, root
-    links = links.union(more)
-    return links, _propagate(links).withColumnRenamed("fp", "id")
+        return root
+    classes = _propagate(more.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).where("fp <> root")
+    moved = look_up(root, classes.select(F.col("fp").alias("root"), F.col("root").alias("to")), "root", outer=True)
+    return cut_lineage(moved.select("id", F.coalesce("to", "root").alias("root")).union(classes.select("fp", "root")))
 
 
 def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -229,16 +233,17 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     # each text with the least of its partners first; of the other pairs, only those still in different classes
     tried = cut_lineage(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     links = _verified(tried, sets)
-    root = _propagate(links).withColumnRenamed("fp", "id")
+    # every text of these links has one partner, and that comes before it
+    root = _tops(links.select(F.col("v").alias("fp"), F.col("u").alias("root"))).withColumnRenamed("fp", "id")
     for side in ("u", "v"):
         own = root.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
         pairs = look_up(pairs, own, side, outer=True).withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    links, root = _with_more(links, root, _verified(pairs.where("root_u <> root_v").select("u", "v").join(tried, ["u", "v"], "left_anti"), sets))
+    root = _merged(root, _verified(pairs.where("root_u <> root_v").select("u", "v", "root_u", "root_v").join(tried, ["u", "v"], "left_anti"), sets))
 
     placed = members.join(root, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     left = placed.join(open_.select("bucket"), "bucket").join(sets.select("id", "odd"), "id").select("bucket", "id", "n", "root", "odd").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-    links, root = _with_more(links, root, _verified(left.mapInArrow(tidy(_open_pairs), "u bigint, v bigint").distinct(), sets))
+    root = _merged(root, _verified(left.mapInArrow(tidy(_open_pairs), "u bigint, v bigint, root_u bigint, root_v bigint").distinct(), sets))
     named = texts.select("id", "key").join(root, "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     return look_up(rows.select("doc_id", "key"), named, "key")
 

@@ -228,18 +228,38 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def _propagate(links: DataFrame) -> DataFrame:
-    """(fp, root): the smallest node reachable over the links, for every node in them."""
+    """(fp, root): the smallest node reachable over the links, for every node in them.
+
+    A round takes the least label of all neighbours, then that label's own label. Once neighbours
+    lower no label any more, every class has a single one, which is its least node's.
+    """
     edges = cut_lineage(links.select("u", "v").union(links.select("v", "u")).distinct())
     heavy = heavy_keys(edges, "v")
-    label = edges.select(F.col("u").alias("fp"), F.col("u").alias("root")).distinct()
+    label = cut_lineage(edges.groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("near")).select("fp", F.least("fp", "near").alias("root")))
     while True:
+        label = _jumped(label)
         near = look_up(edges, label.select(F.col("fp").alias("v"), "root"), "v", heavy=heavy).groupBy(F.col("u").alias("fp")).agg(F.min("root").alias("near"))
-        met = label.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        far = met.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-        label = cut_lineage(look_up(met, far, "root", outer=True).select("fp", "was", F.least("root", "up").alias("root")))
-        if label.where(F.col("was") != F.col("root")).isEmpty():
-            return label.select("fp", "root")
-        label = label.select("fp", "root")
+        met = cut_lineage(label.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        if met.where(F.col("was") != F.col("root")).isEmpty():
+            return label
+        label = met.select("fp", "root")
+
+
+def _jumped(label: DataFrame) -> DataFrame:
+    """label(fp, root), each root replaced by its own root."""
+    own = label.select(F.col("fp").alias("root"), F.col("root").alias("up"))
+    return cut_lineage(look_up(label, own, "root", outer=True).select("fp", F.least("root", "up").alias("root")))
+
+
+def _tops(parents: DataFrame) -> DataFrame:
+    """(fp, root): the top of every node of a forest given by parents(fp, root), where root < fp.
+
+    Tops themselves have no row. Every pass halves what is left of the paths.
+    """
+    label = cut_lineage(parents)
+    while not label.join(label.select(F.col("fp").alias("root")), "root", "left_semi").isEmpty():
+        label = _jumped(label)
+    return label
 
 
 def simhash_components(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
