@@ -1,6 +1,7 @@
 """Benchmark blocks, overlapping sections and the shared rank queue against one-piece versions."""
 
 import random
+import sys
 
 import numpy as np
 
@@ -32,6 +33,40 @@ def test_shared_queue_equals_one_merge_at_a_time():
     assert codec.decode(codec.encode(text)) == text.encode()
 
 
+def test_pre_tokens_share_the_steps_of_the_queue():
+    rng = random.Random(6)
+    words = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.randint(2, 5))) for _ in range(400)})
+    rng.shuffle(words)
+    ranks = {bytes([b]): b for b in b"abc"} | {w: 300 + i for i, w in enumerate(words)}  # d has no rank
+    codec = bpe.ByteBpe(ranks, r"\S+|\s+")
+    pieces = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 12))) for _ in range(30000)]
+
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        got = codec.merge(pieces)
+    finally:
+        sys.setprofile(None)
+    merges = sum(map(len, pieces)) - sum(map(len, got)) // 4
+    assert merges > 50000 and calls < 3 * merges  # one position at a time takes six
+    none = {bytes([b]): 2**32 - 1 for b in range(256)}
+    for p, x in list(zip(pieces, got))[::50]:
+        assert np.frombuffer(x, "<u4").tolist() == plain_merge_or(ranks, p, none)
+
+
+def plain_merge_or(ranks, piece, otherwise):
+    parts = [bytes([b]) for b in piece]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks.get(p, otherwise.get(p)) for p in parts]
+
+
 def items_and_texts():
     rng = random.Random(9)
     words = [f"w{i}" for i in range(40)]

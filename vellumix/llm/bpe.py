@@ -9,7 +9,8 @@ length, so a megabyte without a break is fine.
 
 Pre-tokens that are not known yet lie side by side in one linked list (GROUP bytes of them, or one
 longer one), with no pair across their borders. They are independent, so one queue serves
-all, and a step that finds the lowest rank is shared by every pre-token that has it.
+all, and a step that finds the lowest rank is shared by every pre-token that has it: of pre-tokens up to
+SHORT bytes it takes the whole bucket as arrays, of longer ones a position at a time.
 
 Nulls encode as the empty text; invalid UTF-8 is replaced before encoding. Empty texts have no
 ids, texts of any length are encoded whole, an empty table gives no rows. Repeated rows
@@ -20,9 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,12 @@ BIT = [1 << i for i in range(256)]
 KEPT_BYTES = 128 << 20
 ENTRY_BYTES = 240
 LONGEST_KEPT = 64
+#: Bytes of a pre-token up to which its merges are made together with those of others.
+SHORT = 256
 #: Bytes of new pre-tokens that share one queue.
-GROUP = 1 << 17
+GROUP = 1 << 18
 #: Characters of texts (or one longer text) that are encoded at once.
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 1 << 21
 #: Fixed value: the pattern of which it is known that no match runs from a non-space into a space.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,13 +59,13 @@ class RankQueue:
     """Min-queue of (rank, positions): a two-level bitmap of 256-bit words over one bucket per rank.
 
     ``ByteBpe.merge`` is its one user and works on the fields directly, as a Python call for
-    each of its steps would cost more than the step. A bucket's positions are taken from its end.
+    each of its steps would cost more than the step.
     """
 
     def __init__(self, ranks: int):
         self.words = [0] * (ranks // 256 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, np.ndarray | list[int]] = {}
 
     def fill(self, rank: np.ndarray) -> None:
         """Enter every position with a rank; each bucket is in descending order."""
@@ -69,11 +74,44 @@ class RankQueue:
         edge = np.flatnonzero(np.diff(rank[at])) + 1
         for part in np.split(at, edge) if len(at) else ():
             r = int(rank[part[0]])
-            self.buckets[r] = part.tolist()
+            self.buckets[r] = part
             self.words[r >> 8] |= BIT[r & 255]
             self.top |= 1 << (r >> 8)
 
 
+class PairRanks:
+    """Ranks of pairs of symbols for whole arrays: the sparse matrix of pairs with its rows laid into each other."""
+
+    def __init__(self, ranks: dict[bytes, int], symbols: dict[bytes, int], width: int):
+        rows: dict[int, dict[int, int]] = {}
+        get = symbols.get
+        for whole, rank in ranks.items():
+            for k in range(1, len(whole)):
+                if (a := get(whole[:k])) is not None and (b := get(whole[k:])) is not None:
+                    rows.setdefault(a, {})[b] = rank
+        room = 8 * sum(map(len, rows.values())) + 1
+        self.start = np.zeros(width, np.int64)
+        self.owner, self.ranks = np.full(room + width, -1, np.int32), np.full(room + width, -1, np.int32)
+        taken = bytearray(room + width)
+        rng = random.Random(0)
+        for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+            # an eighth of the places is taken at most, and long rows go first
+            at = rng.randrange(room)
+            while any(taken[at + b] for b in row):
+                at = rng.randrange(room)
+            self.start[a] = at
+            for b, rank in row.items():
+                taken[at + b] = 1
+                self.owner[at + b] = a
+                self.ranks[at + b] = rank
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it has none."""
+        place = self.start[left]
+        place += right
+        return np.where(self.owner[place] == left, self.ranks[place], -1)
+
+
 class ByteBpe:
     """Encoder and decoder for one vocabulary and pre-token pattern."""
 
@@ -89,12 +127,101 @@ class ByteBpe:
             self.vocab[v] = k
         self.queue = RankQueue(len(self.vocab))
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # a byte without a rank has a symbol of its own, so that pairs with it can be looked up
+        self.symbol = np.where(self.single < 0, np.arange(256) + len(self.vocab), self.single)
+        self.border = len(self.vocab) + 256  # the symbol between pre-tokens
+        self.pair_ranks = PairRanks(ranks, {**{bytes([b]): int(v) for b, v in enumerate(self.symbol)}, **ranks}, self.border + 1)
         self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.words: dict[str, bytes] = {}  # ids of a word behind a space
         self.tokens: dict[str, bytes] = {}  # ids of a pre-token
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens, as little-endian unsigned 32-bit integers."""
+        short = [p for p in pieces if len(p) <= SHORT]
+        if len(short) == len(pieces):
+            return self._merge_short(short)
+        some, others = iter(self._merge_short(short)), iter(self._merge_long([p for p in pieces if len(p) > SHORT]))
+        return [next(some if len(p) <= SHORT else others) for p in pieces]
+
+    def _merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """As merge, for many short pre-tokens: a step takes the lowest rank's whole bucket at once.
+
+        Of each pre-token it takes the first position and leaves the others in the bucket. So every
+        pre-token has its merges in their order, also if one of them opens a lower rank or its own again.
+        """
+        data = b"".join(pieces)
+        n = len(data)
+        if not n:
+            return [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size)
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        pair = np.full(n, -1, np.int64)
+        pair[:-1] = self.double[raw[:-1] << 8 | raw[1:]]
+        pair[end[end > 0] - 1] = -1
+        # a border before each pre-token and behind the last one, so that every byte has neighbours
+        own = np.repeat(np.arange(len(pieces)), size + 1)
+        byte = np.arange(n) + np.repeat(np.arange(1, len(pieces) + 1), size)
+        n += len(pieces) + 1
+        ids, now = np.full(n, self.border, np.int64), np.full(n, -1, np.int64)
+        ids[byte], now[byte] = self.symbol[raw], pair
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        queue, ranks, bit = self.queue, self.pair_ranks, BIT
+        queue.fill(now)
+        words, buckets, top = queue.words, queue.buckets, queue.top
+        later: dict[int, list[int]] = {}  # positions entered since, by rank
+        while top:
+            # find first set: the lowest rank with a non-empty bucket
+            high = top & -top
+            a = high.bit_length() - 1
+            word = words[a]
+            low = word & -word
+            rank = (a << 8) + low.bit_length() - 1
+            at = buckets.pop(rank, None)
+            if (more := later.pop(rank, None)) is not None:
+                more = np.array(more)
+                at = more if at is None else np.concatenate((at, more))
+            at = at[now[at] == rank]  # the others are stale
+            waiting = 0
+            if len(at) > 1:
+                at.sort()
+                of = own[at]
+                again = of[1:] == of[:-1]
+                if waiting := np.count_nonzero(again):
+                    buckets[rank] = at[1:][again]
+                    at = np.concatenate((at[:1], at[1:][~again]))
+            if not waiting:
+                words[a] ^= low
+                if not words[a]:
+                    top ^= high
+                if not len(at):
+                    continue
+            gap = nxt[at]
+            to = nxt[gap]
+            nxt[at] = to
+            prv[to] = at
+            now[gap] = -2
+            ids[at] = rank
+            start = np.concatenate((prv[at], at))
+            new = ranks(ids[start], ids[nxt[start]])
+            now[start] = new
+            ranked = new >= 0
+            for i, r in zip(start[ranked].tolist(), new[ranked].tolist()):
+                if (b := later.get(r)) is None:
+                    later[r] = [i]
+                    words[r >> 8] |= bit[r & 255]
+                    top |= 1 << (r >> 8)
+                else:
+                    b.append(i)
+        queue.top = 0
+        left = byte[now[byte] > -2]
+        ids = ids[left]
+        out = np.where(ids < len(self.vocab), ids, -1).astype("<u4").tobytes()
+        cut = (4 * np.searchsorted(left, end + np.arange(1, len(pieces) + 1))).tolist()
+        return [out[x:y] for x, y in zip([0, *cut], cut)]
+
+    def _merge_long(self, pieces: list[bytes]) -> list[bytes]:
+        """As merge, one position after another, as a long pre-token may have thousands of one rank."""
         data = b"".join(pieces)
         n = len(data)
         if not n:
@@ -110,6 +237,8 @@ class ByteBpe:
         first[0] = 1
         queue, get, bit = self.queue, self.ranks.get, BIT
         queue.fill(pair)
+        for r, part in queue.buckets.items():
+            queue.buckets[r] = part.tolist()
         words, buckets, top = queue.words, queue.buckets, queue.top
         # boxed numbers are quicker, but too large for a pre-token of many megabytes
         held = list if n < 4 * GROUP else lambda x: array("q", x)
@@ -223,7 +352,7 @@ class ByteBpe:
 
         No match of SPLIT_PATTERN runs from a non-space into a space, so a text is cut before
         each space that stands alone and each word behind one looked up whole; a word of letters
-        is one pre-token with its space. With any other pattern, texts are matched in one go.
+        is one pre-token with its space, and the ASCII punctuation behind it another. With any other pattern, texts are matched in one go.
         """
         words, tokens, find = self.words, self.tokens, self.find
         cut = [self._cut(t) for t in texts]
@@ -233,6 +362,8 @@ class ByteBpe:
         for w in seen.difference(words):
             if w.isalpha():
                 letters.add(w)
+            elif (core := w.rstrip(punctuation)).isalpha():
+                found[w] = (" " + core, w[len(core) :])
             else:
                 found[w] = find(" " + w)
         other = set()
